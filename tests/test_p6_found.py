@@ -1,0 +1,19 @@
+import __spark_entry__ as entry
+
+KEY = "-----BEGIN PRIVATE KEY-----\r\nq7Xk2b\r\n-----END PRIVATE KEY-----\r\n"
+
+
+def test_lines_of_code_and_text_come_out_once(spark, tmp_path):
+    rows = [
+        (1, "code", 'host = "db"\nDB_PASSWORD = "Xk29fLq!7"\n'),
+        (1, "code", 'host = "db"\nDB_PASSWORD = "Xk29fLq!7"\n'),  # delivered again
+        (2, "text", "note\r\n" + KEY),
+        (3, "email", 'DB_PASSWORD = "Xk29fLq!7"'),
+        (4, "code", None),
+        (5, "text", ""),
+        (6, "code", 'DB_PASSWORD = "${DB_PASSWORD}"'),
+    ]
+    spark.createDataFrame(rows, "file_id bigint, kind string, text string").write.parquet(f"{tmp_path}/file_extract.parquet")
+    df = entry.queries()["p6_found"](spark, str(tmp_path))
+    assert df.dtypes == [("file_id", "bigint"), ("line_no", "int")]
+    assert sorted(map(tuple, df.collect())) == [(1, 2), (2, 2), (2, 3), (2, 4)]
