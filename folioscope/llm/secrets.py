@@ -1,9 +1,9 @@
 """Credentials in code and configuration texts: find, blank out, keep the file usable.
 
 Token formats, key armour, connection strings, command-line forms and ``key = value``
-grammars are alternatives of one compiled pattern.  A text is scanned in chunks that
-overlap, so memory per step is bounded; spans are absolute, duplicates from the overlap are
-dropped, and placeholders are spliced into the original text, leaving every other character
+grammars are compiled patterns that are scanned one by one; none runs over more of a line than
+the credential and its name, so the time follows the text's length.  Overlapping spans are
+joined, and placeholders are spliced into the original text, leaving every other character
 (quotes, keys, line ends) as it was.
 
 Defined cases: null or empty text gives no span and is returned as it is; repeated rows give
@@ -22,8 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Length of one scanned chunk and of the part it shares with the next one, in characters.
-CHUNK, OVERLAP = 65_536, 8_192
 PLACEHOLDER = "[SECRET]"
 
 _VENDOR = (
@@ -40,29 +38,36 @@ _NAME = (
     r"(?:pass(?:word|wd|phrase|code|wort)?|pwd|pw|secret|tokens?(?<!s)|apikey|credentials?|cred|auth|clave|contrase(?:ñ|n)a|kennwort|schl(?:ü|ue)ssel"
     r"|mot[_\- ]?de[_\- ]?passe|(?:api|secret|signing|private|access|auth|encryption|master|account|storage|shared|service)[_\-. ]?key)"
 )
-_KEY = r"(?<![A-Za-z0-9])(?:[A-Za-z0-9]+[_\-.]|[A-Za-z0-9]*?(?<=[a-z])(?=[A-Z]))*?" + _NAME + r"(?![A-Za-z0-9_\-.])"
+#: Before the name may stand anything but a digit (letters, separators, nothing), which :func:`_matches` looks at; no prefix is consumed.
+_KEY = r"(?P<key>" + _NAME + r")(?![A-Za-z0-9_\-.])"
 _VALUE = r"(?:\"(?P<{0}d>(?:[^\"\\\n]|\\.)*)\"|'(?P<{0}s>(?:[^'\\\n]|\\.)*)'|`(?P<{0}b>[^`\n]*)`|(?P<{0}r>{1}))"
 _ASSIGN = (
-    r"(?i:" + _KEY + r")(?:[\"'`]?\]?[ \t]*(?:=>|:=|=|:|,)[ \t]*|[\"'][ \t]+value[ \t]*=[ \t]*|>[ \t]*(?=[^<\s]))"
+    _KEY + r"(?P<sep>[\"'`]?\]?[ \t]*(?:=>|:=|=|:|,)[ \t]*|[\"'][ \t]+value[ \t]*=[ \t]*|>[ \t]*(?=[^<\s]))"
     + _VALUE.format("a", r"[^\s\"'`<>,;(){}\[\]][^\s\"'`<>]*")
 )
 _BASIC = r"(?i:\b(?:authorization|auth_header|auth[_\-]?header|x-api-key|x-auth-token)\b)[\"'`]?[ \t]*(?:=>|[:=,>])[ \t]*[\"'`]?(?:(?i:basic|bearer|token)[ \t]+)?(?P<hdr>[A-Za-z0-9+/=_\-.]{12,})"
 _BEARER = r"\b(?:Bearer|Basic)[ \t]+(?P<bear>[A-Za-z0-9+/=_\-.]{12,})"
-_CLI = (
-    r"(?:\bcurl\b[^\n]*?[ \t](?:-u|--user)[ =]?[\"']?[^\s:\"']+:(?P<curl>[^\s\"']+)"
-    r"|(?:\bmysql(?:dump)?\b|\bmariadb\b|\bsshpass\b|\bsqlcmd\b|\bredis-cli\b|\bldapsearch\b)[^\n]*?[ \t]-(?:p|P|a|w)[ ]?(?P<q>[\"']?)(?P<sqlp>[^\s\"']+)(?P=q)"
-    r"|--(?i:password|passwd|pass|token|secret|api-key)(?:=|[ \t]+)(?P<q2>[\"']?)(?P<opt>[^\s\"']+)(?P=q2)"
-    r"|^[^\n]*?\b[\w.\-]+:(?:\d+|\*):[^\s:]+:[^\s:]+:(?P<pgp>[^\s\"':]+)(?=[\"'\s]|$))"
-)
+_OPTION = r"--(?i:password|passwd|pass|token|secret|api-key)(?:=|[ \t]+)(?P<q2>[\"']?)(?P<opt>[^\s\"']+)(?P=q2)"
+_PGPASS = r"(?<![\w.\-])(?:[\w.\-]+|\*):(?:\d+|\*):[^\s:]+:[^\s:]+:(?P<pgp>[^\s\"':]+)(?=[\"'\s]|$)"
+#: Commands and the options that carry their password, looked for in what follows the command on its line.
+_COMMANDS = [
+    (re.compile(r"\bcurl\b"), re.compile(r"[ \t](?:-u|--user)[ =]?[\"']?[^\s:\"']+:(?P<v>[^\s\"']+)")),
+    (re.compile(r"\b(?:mysql(?:dump)?|mariadb)\b"), re.compile(r"[ \t]-p(?P<q>[\"']?)(?P<v>[^\s\"']+)(?P=q)")),
+    (re.compile(r"\bsshpass\b"), re.compile(r"[ \t]-p[ ]?(?P<q>[\"']?)(?P<v>[^\s\"']+)(?P=q)")),
+    (re.compile(r"\bsqlcmd\b"), re.compile(r"[ \t]-P[ ]?(?P<q>[\"']?)(?P<v>[^\s\"']+)(?P=q)")),
+    (re.compile(r"\bredis-cli\b"), re.compile(r"[ \t]-a[ ]?(?P<q>[\"']?)(?P<v>[^\s\"']+)(?P=q)")),
+    (re.compile(r"\bldapsearch\b"), re.compile(r"[ \t]-w[ ]?(?P<q>[\"']?)(?P<v>[^\s\"']+)(?P=q)")),
+]
 _PROSE = (
     r"(?i:\b(?:wi-?fi|wlan|vpn)(?:[ \t]+(?:password|passphrase|key|passwort|pw|clave|code))?[ \t]*[:=][ \t]*)(?P<wifi>\S+)"
     r"|(?i:\b(?:pw|pwd|passw(?:or)?d|password|passphrase|passwort|kennwort|mot de passe|contrase(?:ñ|n)a|clave|pin|secret|token)\b(?:[ \t]+(?:is|ist|est|es|lautet|was|for[ \t]+\S+[ \t]+is))?[ \t]*:?[ \t]+)(?P<prose>[^\s,;]+)"
     r"|(?i:\b(?:login|zugang|acceso|acc(?:è|e)s|account|user)\b)[^\n/]{0,40}?[ \t]/[ \t](?P<login>\S+)"
 )
 
-_SECRET = re.compile("|".join(f"(?:{p})" for p in (_ARMOUR, _URL, _BASIC, _BEARER, _CLI, _ASSIGN, _VENDOR, _PROSE)), re.M)
-_GROUPS = [g for g in _SECRET.groupindex if g not in ("q", "q2")]
-_STRONG = {"url", "hdr", "bear", "curl", "sqlp", "opt", "pgp", "ad", "as", "ab", "ar"}
+#: Each grammar is scanned on its own, so that no match hides one of another grammar.
+_GRAMMARS = {k: re.compile(p, re.M) for k, p in (("armour", _ARMOUR), ("url", _URL), ("basic", _BASIC), ("bearer", _BEARER), ("option", _OPTION), ("pgpass", _PGPASS), ("vendor", _VENDOR), ("prose", _PROSE))}
+#: Run on the text in lower case, which spares the engine the case-insensitive search at each character.
+_ASSIGNED = re.compile(_ASSIGN)
 #: Cheap test whether a chunk can hold any alternative at all.
 _HINT = re.compile(
     r"(?i)pass|pwd|\bpw\b|secret|token|key|cred|auth|clave|contrase|kennwort|schl|bearer|basic|://|--|private|wi-?fi|wlan|vpn|login|zugang|acceso|acc[eè]s|akia|asia|aiza|gh[pousr]_|github_pat|glpat|xox|[srp]k[_-]|npm_|SG\.|_(?:pat|live|prod|test|tok)_|eyJ|:\*:|:\d+:"
@@ -76,7 +81,7 @@ _CALL = re.compile(r"\A[A-Za-z_][\w.]*\(")
 _WORDS = re.compile(r"\A[^\W\d_]+\Z")
 
 
-def _good(group: str | None, value: str, rest: str) -> bool:
+def _good(group: str | None, value: str, rest: str, key: str = "", sep: str = "") -> bool:
     """Whether a matched value can be a live credential.  rest: what follows it on its line."""
     if group is None:
         return True
@@ -97,52 +102,61 @@ def _good(group: str | None, value: str, rest: str) -> bool:
     return True
 
 
+def _lower(text: str) -> str:
+    """In lower case, with every character at its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c if len(x := c.lower()) != 1 else x for c in text)
+
+
+def _matches(text: str) -> Iterator[tuple[str | None, int, int]]:
+    """(group, start, end) of all that the grammars match and :func:`_good` accepts."""
+
+    def rest(e: int) -> str:
+        stop = text.find("\n", e)
+        return text[e : stop if stop >= 0 else len(text)][:200]
+
+    for rx in _GRAMMARS.values():
+        groups, pos = [g for g in rx.groupindex if g != "q2"], 0
+        while (m := rx.search(text, pos)) is not None:
+            g = next((x for x in groups if m.group(x) is not None), None)
+            s, e = m.span(g) if g else m.span()
+            if g in ("wifi", "prose", "login"):
+                e -= len(m.group(g)) - len(m.group(g).rstrip(".,;:!?)\"'`"))
+                s += len(m.group(g)) - len(m.group(g).lstrip("(\"'`"))
+            if e > s and _good(g, text[s:e], rest(e)):
+                yield g, s, e
+                pos = m.end()
+            else:  # what was refused may hold the start of another match
+                pos = m.start() + 1
+    for command, option in _COMMANDS:
+        pos = 0
+        while (c := command.search(text, pos)) is not None:
+            stop = text.find("\n", c.end())
+            pos = stop if stop >= 0 else len(text)
+            at = c.end()
+            while (m := option.search(text, at, pos)) is not None:
+                s, e = m.span("v")
+                if _good("cli", text[s:e], rest(e)):
+                    yield "cli", s, e
+                    at = m.end()
+                else:
+                    at = m.start() + 1
+    low, pos = _lower(text), 0
+    while (m := _ASSIGNED.search(low, pos)) is not None:
+        pos = m.start() + 1
+        if text[m.start() - 1 : m.start()].isdigit():
+            continue
+        g = next(x for x in ("ad", "as", "ab", "ar") if m.group(x) is not None)
+        s, e = m.span(g)
+        if e > s and _good(g, text[s:e], rest(e), m.group("key"), m.group("sep")):
+            yield g, s, e
+            pos = m.end()
+
+
 def find_secrets(text: str | None) -> list[tuple[int, int]]:
     """Absolute spans (start, end) of credential values in one text, sorted, without overlaps."""
-    if not text:
-        return []
-    spans: set[tuple[int, int]] = set()
-    at, n = 0, len(text)
-    while at < n:
-        end = min(n, at + CHUNK + OVERLAP)
-        if at == 0 and end == n:
-            chunk = text
-        else:
-            chunk = text[at:end]
-        if _HINT.search(chunk):
-            pos = 0
-            while (m := _SECRET.search(chunk, pos)) is not None:
-                g = next((x for x in _GROUPS if m.group(x) is not None), None)
-                s, e = m.span(g) if g else m.span()
-                line_end = chunk.find("\n", e)
-                rest = chunk[e : line_end if line_end >= 0 else min(len(chunk), e + 200)]
-                if g in ("wifi", "prose", "login"):
-                    e -= len(m.group(g)) - len(m.group(g).rstrip(".,;:!?)\"'"))
-                if e > s and _good(g, chunk[s:e], rest):
-                    spans.add((at + s, at + e))
-                    pos = max(m.end(), pos + 1)
-                else:  # the next alternative may start inside what was refused
-                    pos = max(s, m.start() + 1) if g else m.start() + 1
-        if end == n:
-            break
-        at += CHUNK
-    # an armour cut by a chunk's end runs to that end: the longest of overlapping spans stays
     out: list[tuple[int, int]] = []
-    for s, e in sorted(spans, key=lambda x: (x[0], -x[1])):
-        if out and s < out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], e))
-        else:
-            out.append((s, e))
-    return _joined_armour(text, out)
-
-
-def _joined_armour(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """A key whose armour is longer than a chunk ends at its END line, wherever that stands."""
-    out = []
-    for s, e in spans:
-        if text.startswith("-----BEGIN", s) and "-----END" not in text[s:e]:
-            m = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----").search(text, s)
-            e = max(e, m.end() if m else len(text))
+    for s, e in sorted({(s, e) for _, s, e in (_matches(text) if text and _HINT.search(text) else ())}, key=lambda x: (x[0], -x[1])):
         if out and s < out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], e))
         else:

@@ -1,0 +1,36 @@
+import time
+
+import pytest
+
+from folioscope.llm.secrets import find_secrets
+
+
+def found(text):
+    return [text[s:e] for s, e in find_secrets(text)]
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("redis-cli --tls -h cache -p 6379 -a S3cretValue", "S3cretValue"),
+        ("mysql --ssl -h db -P 3306 -pS3cretValue", "S3cretValue"),
+        ("x; redis-cli -p 6379 -a <pw>; redis-cli -p 6379 -a S3cretValue", "S3cretValue"),
+    ],
+)
+def test_a_refused_match_hides_no_later_one(text, value):
+    assert value in found(text)
+
+
+def test_a_late_colon_form_hides_nothing_before_it():
+    line = '{"db_password":"Xk29fLq!7","mac":"12:34:56:78:9a:bc","line":"db:5432:shop:app:Vq8!kzzP"}'
+    assert found(line) == ["Xk29fLq!7", "Vq8!kzzP"]
+
+
+def test_a_quoted_placeholder_is_not_taken_for_prose():
+    assert found('passphrase: "your-api-key-here",') == []
+
+
+def test_the_time_follows_the_length_of_one_line():
+    began = time.time()
+    assert found("mysql token_limit:1 abc " * 20_000 + "password='Xk29fLq!7'") == ["Xk29fLq!7"]
+    assert time.time() - began < 20
