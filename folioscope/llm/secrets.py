@@ -69,11 +69,15 @@ _GRAMMARS = {k: re.compile(p, re.M) for k, p in (("armour", _ARMOUR), ("url", _U
 #: Run on the text in lower case, which spares the engine the case-insensitive search at each character.
 _ASSIGNED = re.compile(_ASSIGN)
 _PLACE = re.compile(
-    r"(?ix)\A(?:|[x*•.\-_#?]{3,}|x+|<.*|\[.*\]?|\$.*|%.*|\{.*|@.*|.*\{\{.*|none|null|nil|undefined|true|false|yes|no|n/?a|tbd|todo|unset|empty|debug|info|example.*|sample.*|dummy.*|placeholder.*"
+    r"(?ix)\A(?:|[x*•.\-_#?]{3,}|x+|<[^<>]*>|\[[^\[\]]*\]|\$\{[^{}]*\}?|\$\([^()]*\)?|\$[A-Za-z_]\w*|%\([^()]*\)s?|%\w+%|%[sd]|\{+[^{}]*\}+|@\w+@|@\w+\.\w+\(.*|.*\{\{.*|none|null|nil|undefined|true|false|yes|no|n/?a|tbd|todo|unset|empty|debug|info|example.*|sample.*|dummy.*|placeholder.*"
     r"|change[_\-]?(?:me|it|this).*|replace[_\-]?(?:me|this|it)?.*|insert.*|enter.*|redacted.*|your[_\-. ].*|my[_\-](?:password|secret|token|key).*|(?:password|passwd|secret|token|pass|apikey|api[_\-]key|test)"
-    r"|string|str|text|bytes|int|varchar.*|(?:process\.)?env\b.*|os\.environ.*|os\.getenv.*|getenv.*|getpass.*|sys\.argv.*|config[.\[].*|settings[.\[].*|self\..*|this\..*|args\..*|vault[:.].*|arn:.*|ssm:.*|ref\+.*|secret[:/]{1,3}.*|file:.*|/[\w./\-]*|https?://[^:@]*|[\w./\-]*\.(?:pass|pem|key|crt|txt|json|ya?ml))\Z"
+    r"|required|optional|hidden|string|str|text|boolean|bytes|int|varchar.*|(?:process\.)?env\b.*|os\.environ.*|os\.getenv.*|getenv.*|getpass.*|sys\.argv.*|config[.\[].*|settings[.\[].*|self\..*|this\..*|args\..*|vault[:.].*|arn:.*|ssm:.*|ref\+.*|secret[:/]{1,3}.*|file:.*|https?://[^:@]*|[\w./\-]*\.(?:pass|pem|key|crt|txt|json|ya?ml))\Z"
 )
 _CALL = re.compile(r"\A[A-Za-z_][\w.]*\(")
+#: A path has no segment that mixes upper case, lower case and digits as a Base64 secret does.
+_PATH = re.compile(r"\A/[\w./\-]*\Z")
+_MIXED = re.compile(r"(?=[^/]*[a-z])(?=[^/]*[A-Z])(?=[^/]*\d)[^/]{12,}")
+_PASSWORD = re.compile(r"(?i)\A(?:pass(?:word|wd|phrase|code|wort)?|pwd|pw|clave|contrase(?:ñ|n)a|kennwort|mot[_\- ]?de[_\- ]?passe)\Z")
 _WORDS = re.compile(r"\A[^\W\d_]+\Z")
 
 
@@ -81,10 +85,12 @@ def _good(group: str | None, value: str, rest: str, key: str = "", sep: str = ""
     """Whether a matched value can be a live credential.  rest: what follows it on its line."""
     if group is None:
         return True
-    if _PLACE.match(value) or _CALL.match(value) or len(value) < 5:
+    named = bool(_PASSWORD.match(key))
+    short = 3 if named and (group != "ar" or re.search(r"\d", value) and not value.isdigit()) else 5
+    if _PLACE.match(value) or _CALL.match(value) or len(value) < short or _PATH.match(value) and not _MIXED.search(value):
         return False
     if group == "ar":  # a bare word followed by more prose is a sentence, not a setting
-        if _WORDS.match(value) and (value.islower() or value.istitle()):
+        if _WORDS.match(value) and (value.islower() or value.istitle()) and not (named and sep.strip() in ("=", ":") and re.match(r"[ \t\r]*(?:#.*)?\Z", rest)):
             return False
         if re.match(r"[ \t]+[a-z]{2,}\b[ \t]+\S", rest) and not re.search(r"\d", value):
             return False

@@ -67,3 +67,31 @@ def test_the_time_follows_the_length_of_one_line():
 )
 def test_each_alternative_is_found_with_nothing_else_in_the_text(text, value):
     assert found(text) == [value or text]
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        ("DB_PASSWORD=correcthorse", "correcthorse"),
+        ("passwort: Sommerregen", "Sommerregen"),
+        ('password = "ab1!"', "ab1!"),
+        ("ACCESS_TOKEN = `%V@vPEQ2plOu-NiQs`;", "%V@vPEQ2plOu-NiQs"),
+        ('secret = "$Xk29fLq!7"', "$Xk29fLq!7"),
+        ('secret = "{Xk29fLq!7"', "{Xk29fLq!7"),
+        ('secret = "<Xk29fLq!7"', "<Xk29fLq!7"),
+        ('secret = "[Xk29fLq!7"', "[Xk29fLq!7"),
+        ('secret = "/Xk29fLq7Vbn2kR8w/Qz"', "/Xk29fLq7Vbn2kR8w/Qz"),
+    ],
+)
+def test_values_that_only_look_like_placeholders(text, value):
+    assert found(text) == [value]
+
+
+@pytest.mark.parametrize("value", ["${DB_PASSWORD}", "$API_KEY", "%(password)s", "%DB_PW%", "<your-token>", "[redacted]", "{{ vault.db }}", "{password}", "/etc/ostrel/Katoren.pass", "/run/secrets/db", "None", "xxxxxxxx"])
+def test_whole_placeholders_and_paths_stay(value):
+    assert found(f'password = "{value}"') == []
+
+
+@pytest.mark.parametrize("text", ["# token = one row of the feed", "password: ask your manager", "Password: required"])
+def test_sentences_are_none(text):
+    assert found(text) == []
