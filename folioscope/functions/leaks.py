@@ -1,0 +1,60 @@
+"""Held-out items that stand in documents, by the q-gram lemma.
+
+A stretch of RUN consecutive words holds, at some place whose number is a multiple of STEP, a
+whole gram of RUN - STEP + 1 words.  Only the grams at those places of a document are looked
+up among all grams of the items; around each hit every stretch of RUN words is compared.
+"""
+
+from __future__ import annotations
+
+import re
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+RUN, STEP = 12, 6
+GRAM = RUN - STEP + 1
+_WORD = re.compile(r"[^\W_]+")
+
+
+def words(text: str | None) -> list[str]:
+    """Maximal runs of letters and digits, in lower case."""
+    return _WORD.findall((text or "").lower())
+
+
+class Items:
+    """Index of the items' texts."""
+
+    def __init__(self, items: Iterable[tuple[int, str | None]]) -> None:
+        self.grams: set[tuple[str, ...]] = set()
+        self.runs: dict[tuple[str, ...], set[int]] = defaultdict(set)
+        for i, text in items:
+            w = words(text)
+            if len(w) >= RUN:
+                self.grams |= {tuple(w[k : k + GRAM]) for k in range(len(w) - GRAM + 1)}
+            for k in range(len(w) - RUN + 1):
+                self.runs[tuple(w[k : k + RUN])].add(i)
+
+    def held_in(self, text: str | None) -> set[int]:
+        """Items of which at least RUN consecutive words stand consecutively in the text."""
+        w, out = words(text), set()
+        for k in range(0, len(w) - GRAM + 1, STEP):
+            if tuple(w[k : k + GRAM]) in self.grams:
+                for s in range(max(0, k - STEP + 1), min(k, len(w) - RUN) + 1):
+                    out |= self.runs.get(tuple(w[s : s + RUN]), set())
+        return out
+
+
+def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Distinct (doc_id, item_id).  items: the held-out table, which does not grow; it goes to each task."""
+    index = docs.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in items.select("item_id", "text").collect()])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Items(index.value)
+        for b in batches:
+            found = [(d, i) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i in sorted(held.held_in(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.int64()), pa.array([i for _, i in found], pa.int64())], names=["doc_id", "item_id"])
+
+    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id bigint, item_id bigint").distinct()

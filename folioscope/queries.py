@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions.leaks import leaks
+from folioscope.functions.pieces import split_items
 from folioscope.llm.secrets import secret_spans
 
 
@@ -12,3 +14,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line of a code file or note that holds a part of a live credential."""
     files = spark.read.parquet(f"{sf_dir}/file_extract.parquet").filter(F.col("kind").isin("code", "text"))
     return secret_spans(files).select("file_id", "line_no").distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each extract and request whose text comes out in more than one piece."""
+
+    def of(table: str, id_col: str, text_col: str) -> DataFrame:
+        rows = split_items(spark.read.parquet(f"{sf_dir}/{table}.parquet"), id_col, text_col)
+        return rows.filter("piece_no > 1").select(F.lit(table).alias("item_table"), F.col(id_col).alias("item_id"))
+
+    return of("file_extract", "file_id", "text").unionByName(of("request_state", "request_id", "content")).distinct()
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document and held-out item that share a stretch of words."""
+    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/eval_items.parquet"))

@@ -1,0 +1,22 @@
+import random
+
+import __spark_entry__ as entry
+from folioscope.functions.leaks import RUN, Items, words
+
+
+def test_as_many_as_by_comparing_all_stretches():
+    rnd = random.Random(7)
+    items = [(i, " ".join(rnd.choices("abc", k=30))) for i in range(40)]
+    held = Items(items)
+    for shift in range(200):
+        doc = " ".join([*rnd.choices("abc", k=shift % 17), *words(rnd.choice(items)[1])[3 : 3 + RUN - shift % 2], *rnd.choices("abc", k=9)])
+        runs = lambda t: {tuple(words(t)[k : k + RUN]) for k in range(len(words(t)) - RUN + 1)}
+        assert held.held_in(doc) == {i for i, t in items if runs(t) & runs(doc)}
+
+
+def test_layout_and_case_are_ignored(spark, tmp_path):
+    item = "One two, three four five six seven eight nine ten eleven Été"
+    spark.createDataFrame([(9, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    docs = [(1, "so: ONE\ntwo|three-four\n\nfive_six seven eight nine ten (eleven) été!"), (2, "two three four five six seven eight nine ten eleven été"), (3, None)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert list(map(tuple, entry.queries()["p7_found"](spark, str(tmp_path)).collect())) == [(1, 9)]
