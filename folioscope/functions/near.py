@@ -1,0 +1,151 @@
+"""Pairs of files with nearly the same text: an exact set-similarity join.
+
+A text is the set of its sequences of three consecutive words.  The sets' members are ordered
+with those that a sample shows to be frequent last; two sets as similar as asked share a member
+of their first parts (prefix filter), at places that leave room enough for the rest (position
+filter).  All pairs that pass are compared in full, so no pair is lost or made up.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Least words of a text; least share of common sequences, as a fraction.
+LEAST_WORDS, TIMES, OF = 40, 3, 5
+#: Texts of the sample, and sequences known to be frequent at most.
+SAMPLE, KNOWN = 20_000, 1_000_000
+_WORD = re.compile(r"[^\W_]+")
+_codes: dict[str, int] = {}
+
+
+def _code(word: str) -> int:
+    if len(_codes) > 1_000_000:
+        _codes.clear()
+    return _codes.setdefault(word, int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def sequences(text: str | None) -> np.ndarray:
+    """Sorted 64-bit codes of the distinct sequences of three words; none for a text under LEAST_WORDS words."""
+    words = _WORD.findall((text or "").lower())
+    if len(words) < LEAST_WORDS:
+        return np.empty(0, np.int64)
+    get = _codes.get
+    w = np.array([get(x) or _code(x) for x in words], np.uint64)
+    return np.unique(_mixed(_mixed(_mixed(w[:-2]) + w[1:-1]) + w[2:]).view(np.int64))
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and OF * both >= TIMES * (len(x) + len(y) - both)
+
+
+def _least(n: np.ndarray, times: int, of: int) -> np.ndarray:
+    """times / of of n, rounded up."""
+    return -(-n * times // of)
+
+
+def _frequent(docs: DataFrame, every: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, sorted, and how many texts of a sample, one of each so many, hold them."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *map(sequences, b.column(0).to_pylist())]))], names=["code"])
+
+    some = docs.filter(F.pmod(F.xxhash64("file_id"), F.lit(every)) == 0).select("text").mapInArrow(scan, "code bigint")
+    rows = some.groupBy("code").count().filter("count > 1").orderBy(F.desc("count"), "code").limit(KNOWN).toPandas().sort_values("code")
+    return rows["code"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
+
+
+def near_pairs(docs: DataFrame) -> DataFrame:
+    """Distinct (file_id_a, file_id_b), a < b, of the rows (file_id, text); repeated rows are allowed."""
+    every = max(1, docs.count() // SAMPLE)
+    docs = docs.select("file_id", "text").filter(F.length("text") >= 2 * LEAST_WORDS - 1)
+    known = docs.sparkSession.sparkContext.broadcast(_frequent(docs, every))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts = known.value
+        for b in batches:
+            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(3)]
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                s = sequences(t)
+                if n := len(s):
+                    if len(codes):
+                        at = np.minimum(np.searchsorted(codes, s), len(codes) - 1)
+                        s = s[np.lexsort((s, np.where(codes[at] == s, counts[at], 0)))]
+                    p = n - int(_least(np.int64(n), TIMES, OF)) + 1
+                    # codes of 40 bits and the two numbers in one: fewer bytes to move; equal short codes only add to what is compared
+                    for to, x in zip(out, (s[:p] & 0xFFFFFFFFFF, np.full(p, i), (n << 32) + np.arange(p))):
+                        to.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["code", "file_id", "place"])
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = list(batches)
+        if not rows:
+            return
+        code, ids, place = (np.concatenate([b.column(k).to_numpy() for b in rows]) for k in range(3))
+        n, at = place >> 32, place & 0xFFFFFFFF
+        order = np.lexsort((ids, n, code))
+        code, ids, n, at = code[order], ids[order], n[order], at[order]
+        # with the k-th next row of the same code, for k = 1, 2, ...: n is not less there
+        left, k, found, held = np.arange(len(code)), 1, [], 0
+        while len(left := left[left + k < len(code)]) and len(left := left[code[left] == code[left + k]]):
+            x, y = left, left + k
+            left = left[fit := OF * n[x] >= TIMES * n[y]]
+            x, y = x[fit], y[fit]
+            # of a similar pair's first common member; its later ones need not pass
+            ok = (ids[x] != ids[y]) & (np.minimum(n[x] - at[x], n[y] - at[y]) >= _least(n[x] + n[y], TIMES, TIMES + OF))
+            x, y = ids[x[ok]], ids[y[ok]]
+            found.append((np.minimum(x, y), np.maximum(x, y)))
+            held += len(x)
+            k += 1
+            if held > 4_000_000:
+                yield _distinct(found)
+                found, held = [], 0
+        if found:
+            yield _distinct(found)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, np.ndarray] = {}
+
+        def of(i: int, t: str) -> np.ndarray:
+            if i not in kept:
+                if len(kept) >= 2_000:
+                    kept.clear()
+                kept[i] = sequences(t)
+            return kept[i]
+
+        for b in batches:
+            a, c, s, t = (b.column(k).to_pylist() for k in range(4))
+            good = [(i, j) for i, j, x, y in zip(a, c, s, t) if similar(of(i, x), of(j, y))]
+            yield _pairs(np.array(good, np.int64).reshape(-1, 2))
+
+    schema = "file_id_a bigint, file_id_b bigint"
+    parts = docs.mapInArrow(prefixes, "code bigint, file_id bigint, place bigint").repartition("code")
+    pairs = parts.mapInArrow(candidates, schema).distinct()
+    texts = pairs.join(docs.toDF("file_id_a", "text_a"), "file_id_a").join(docs.toDF("file_id_b", "text_b"), "file_id_b")
+    return texts.select("file_id_a", "file_id_b", "text_a", "text_b").mapInArrow(compared, schema).distinct()
+
+
+def _pairs(x: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["file_id_a", "file_id_b"])
+
+
+def _distinct(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    x, y = (np.concatenate([f[k] for f in found]) for k in range(2))
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    first = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(x)]
+    return _pairs(np.stack([x[first], y[first]], 1))

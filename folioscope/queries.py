@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions.leaks import leaks
+from folioscope.functions.near import near_pairs
 from folioscope.functions.pieces import split_items
 from folioscope.llm.secrets import secret_spans
 
@@ -29,3 +30,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document and held-out item that share a stretch of words."""
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/eval_items.parquet"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair of files with nearly the same text."""
+    return near_pairs(spark.read.parquet(f"{sf_dir}/file_extract.parquet"))

@@ -1,0 +1,28 @@
+import random
+import re
+
+import __spark_entry__ as entry
+
+
+def _set(text):
+    w = re.findall(r"[^\W_]+", (text or "").lower())
+    return {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 40 else set()
+
+
+def test_as_many_pairs_as_by_comparing_all(spark, tmp_path):
+    rnd = random.Random(5)
+    texts = []
+    for _ in range(12):
+        base = [f"w{rnd.randrange(400)}" for _ in range(rnd.choice([39, 40, 45, 120]))]
+        for changes in range(8):
+            w = base[:]
+            for _ in range(changes * len(w) // 40):
+                w[rnd.randrange(len(w))] = f"w{rnd.randrange(400)}"
+            texts.append(rnd.choice([" ", ", ", "\n"]).join(w + ["the closing words that all the texts share here"] * rnd.randrange(2)))
+    rows = [*enumerate(texts), (3, texts[3]), (500, None), (501, ""), (502, texts[20].upper())]
+    spark.createDataFrame(rows, "file_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/file_extract.parquet")
+    sets = {i: _set(t) for i, t in rows}
+    want = {(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and x and y and 5 * len(x & y) >= 3 * len(x | y)}
+    got = list(map(tuple, entry.queries()["p5_found"](spark, str(tmp_path)).collect()))
+    assert len(want) > 40
+    assert len(got) == len(set(got)) and set(got) == want
