@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions.encoding import damaged_documents
 from folioscope.functions.leaks import leaks
 from folioscope.functions.near import near_pairs
 from folioscope.functions.pieces import split_items
@@ -35,3 +36,8 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pair of files with nearly the same text."""
     return near_pairs(spark.read.parquet(f"{sf_dir}/file_extract.parquet"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document whose own words hold characters read in the wrong encoding."""
+    return damaged_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

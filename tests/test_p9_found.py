@@ -1,0 +1,9 @@
+import __spark_entry__ as entry
+
+
+def test_own_words_but_no_citations_or_rare_letters(spark, tmp_path):
+    good = "Le café à Zürich coûte 5 €, l’été – “déjà”."
+    wrong = [good.encode().decode(c, "replace") for c in ("latin-1", "cp1252", "cp437", "mac_roman", "gb18030")] + ["Pr¸fung der Preisliste", "la atenciуn al cliente", "caf� au lait"]
+    right = [good, "The printer shows Ã© where the é should be.", "La «Ñ» pidió AÇÃO y CORAÇÃO", "PÂTE À JOINT, n.º 12", "", None]
+    spark.createDataFrame(list(enumerate(wrong + right)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r[0] for r in entry.queries()["p9_found"](spark, str(tmp_path)).collect()) == list(range(len(wrong)))
