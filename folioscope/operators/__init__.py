@@ -1,0 +1 @@
+"""Stages: DataFrame to DataFrame."""

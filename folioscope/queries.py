@@ -1,43 +1,21 @@
-"""The queries pN_found over the tables of TESTDATA.md; each reads its whole tables."""
+"""The queries over the catalogue's tables and their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.functions.encoding import damaged_documents
-from folioscope.functions.leaks import leaks
-from folioscope.functions.near import near_pairs
-from folioscope.functions.pieces import split_items
-from folioscope.llm.secrets import secret_spans
-
-
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each line of a code file or note that holds a part of a live credential."""
-    files = spark.read.parquet(f"{sf_dir}/file_extract.parquet").filter(F.col("kind").isin("code", "text"))
-    return secret_spans(files).select("file_id", "line_no").distinct()
-
-
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each extract and request whose text comes out in more than one piece."""
-
-    def of(table: str, id_col: str, text_col: str) -> DataFrame:
-        rows = split_items(spark.read.parquet(f"{sf_dir}/{table}.parquet"), id_col, text_col)
-        return rows.filter("piece_no > 1").select(F.lit(table).alias("item_table"), F.col(id_col).alias("item_id"))
-
-    return of("file_extract", "file_id", "text").unionByName(of("request_state", "request_id", "content")).distinct()
-
 
-def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document and held-out item that share a stretch of words."""
-    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/eval_items.parquet"))
+def dept_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of each department, repeated deliveries counted once."""
+    return spark.read.parquet(f"{sf_dir}/file_catalog.parquet").groupBy(F.coalesce("department", F.lit("unclassified")).alias("department")).agg(F.count_distinct("file_id").alias("n"))
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each pair of files with nearly the same text."""
-    return near_pairs(spark.read.parquet(f"{sf_dir}/file_extract.parquet"))
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"dept_overview": dept_overview}
 
 
-def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document whose own words hold characters read in the wrong encoding."""
-    return damaged_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def oracle_sql() -> dict[str, str]:
+    return {"dept_overview": "SELECT coalesce(department, 'unclassified') AS department, count(DISTINCT file_id) AS n FROM file_catalog GROUP BY 1"}
