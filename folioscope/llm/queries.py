@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.encoding import damaged_documents
 from folioscope.llm.leaks import leaks
+from folioscope.llm.mail import new_lines
 from folioscope.llm.near import near_pairs
 from folioscope.llm.pieces import split_items
 from folioscope.llm.secrets import secret_spans
@@ -18,6 +19,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line of a mail that its sender newly wrote."""
+    return new_lines(_table(spark, sf_dir, "file_extract").filter("kind = 'email'"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each extract and request whose text comes out in more than one piece."""
 
