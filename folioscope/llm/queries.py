@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.encoding import damaged_documents
 from folioscope.llm.leaks import leaks
 from folioscope.llm.mail import new_lines
+from folioscope.llm.names import same_party
 from folioscope.llm.near import near_pairs
 from folioscope.llm.pieces import split_items
 from folioscope.llm.secrets import secret_spans
@@ -24,6 +25,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_lines(_table(spark, sf_dir, "file_extract").filter("kind = 'email'"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair of spellings of one counterparty."""
+    return same_party(_table(spark, sf_dir, "file_catalog").select("counterparty"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each extract and request whose text comes out in more than one piece."""
 
