@@ -12,6 +12,7 @@ from folioscope.llm.leaks import leaks
 from folioscope.llm.mail import new_lines
 from folioscope.llm.names import same_party
 from folioscope.llm.near import near_pairs
+from folioscope.llm.pii import pii_values
 from folioscope.llm.pieces import split_items
 from folioscope.llm.secrets import secret_spans
 
@@ -25,6 +26,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_lines(_table(spark, sf_dir, "file_extract").filter("kind = 'email'"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct personal value of each text, as it stands there."""
+    return pii_values(_table(spark, sf_dir, "file_extract"), _table(spark, sf_dir, "file_catalog").select("file_id", "pii_columns"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pair of spellings of one counterparty."""
     return same_party(_table(spark, sf_dir, "file_catalog").select("counterparty"))
