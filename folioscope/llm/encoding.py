@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.operators.graph import cut
+
 #: Share of the corpus presumed for every character; bits below which a pair is improbable; bits that a one-byte mapping must gain.
 PRIOR, FLOOR, GAIN, COMMON = 0.01, 0.0, 7.0, 1e-4
 #: Encodings in which bytes of UTF-8 may have been read.
@@ -264,7 +266,7 @@ def damaged(text: str | None, info: Information) -> list[tuple[int, int, str | N
 
 def information(docs: DataFrame, text_col: str = "text") -> Information:
     """Counted over all documents; only pairs of at least 2**-20 of the total come to the driver."""
-    counts = pair_counts(docs, text_col)
+    counts = cut(pair_counts(docs, text_col))
     total = counts.agg(F.sum("n")).first()[0] or 0
     kept = counts.filter(F.col("n") >= total / (1 << 20)).toPandas()
     return Information(kept["pair"].to_numpy(np.int64), kept["n"].to_numpy(np.int64), total)
