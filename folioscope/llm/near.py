@@ -1,15 +1,30 @@
-"""Pairs of files with nearly the same text: an exact set-similarity join.
+"""Pairs of files with nearly the same text: vantage-point trees over Hamming fingerprints, then an exact test.
 
-A text is the set of its sequences of three consecutive words.  The sets' members are ordered
-with those that a sample shows to be frequent last; two sets as similar as asked share a member
-of their first parts (prefix filter), at places that leave room enough for the rest (position
-filter).  All pairs that pass are compared in full, so no pair is lost or made up.
+A text is the set of its sequences of three consecutive words.  Texts with the same set are one
+class.  The fingerprint of a set has a bit for each hash value and flips one bit for each member, so the
+Hamming distance of two fingerprints is never more than the number of members that only one set has.
+Two sets of n and m members with at least TIMES / OF of all members in common differ in at most
+(n + m) * (OF - TIMES) / (OF + TIMES) members: within this radius no pair is lost.
+
+One tree over everything would prune nothing, as all texts are about equally far from each other;
+so the collection is cut into overlapping shards first.  Each set's members are ordered with the
+frequent ones last (counted over all texts in a sketch of fixed size); two similar sets share one of
+their first (1 - TIMES / OF) * n + 1 members, at places that leave room enough for the rest.  A member
+is a shard, and a text lies in the shard of each of its first members that it shares with a
+text it could be similar to.  In a shard the texts form a vantage-point tree: by the distance to a
+vantage point the rest is split at the median, and a query with radius r visits a branch only if
+the triangle inequality allows a hit.  A shard with more than SHARD texts is cut into blocks, and
+every pair of blocks is searched by a task of its own.  Pairs within the radius are compared in full.
+
+Defined cases: null, empty and short texts (under LEAST_WORDS words) are in no pair; rows repeated
+under one id count once; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,18 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.operators.graph import cut
+
 #: Least words of a text; least share of common sequences, as a fraction.
 LEAST_WORDS, TIMES, OF = 40, 3, 5
-#: Texts of the sample, and sequences known to be frequent at most.
-SAMPLE, KNOWN = 20_000, 1_000_000
+#: Buckets of the sketch of counts, whatever the size of the collection, and its pieces.
+BUCKETS, PIECES = 1 << 20, 64
+#: Texts of a leaf of a tree; texts of a shard that one task searches; ids that are sent to every executor at most.
+LEAF, SHARD, SENT = 48, 4096, 1_000_000
 _WORD = re.compile(r"[^\W_]+")
-_codes: dict[str, int] = {}
-
-
-def _code(word: str) -> int:
-    if len(_codes) > 1_000_000:
-        _codes.clear()
-    return _codes.setdefault(word, int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+_index: dict[str, int] = {}
+_table = np.empty(0, np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -37,19 +51,166 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sequences(text: str | None) -> np.ndarray:
-    """Sorted 64-bit codes of the distinct sequences of three words; none for a text under LEAST_WORDS words."""
-    words = _WORD.findall((text or "").lower())
-    if len(words) < LEAST_WORDS:
-        return np.empty(0, np.int64)
-    get = _codes.get
-    w = np.array([get(x) or _code(x) for x in words], np.uint64)
-    return np.unique(_mixed(_mixed(_mixed(w[:-2]) + w[1:-1]) + w[2:]).view(np.int64))
+def _codes(words: list[str]) -> np.ndarray:
+    """64-bit codes of words, the same in every process."""
+    global _table
+    new = [w for w in dict.fromkeys(words) if w not in _index]
+    if new:
+        if len(_index) > 1_000_000:
+            _index.clear()
+            _table = np.empty(0, np.uint64)
+            new = list(dict.fromkeys(words))
+        for k, w in enumerate(new, len(_index)):
+            _index[w] = k
+        _table = np.concatenate([_table, np.frombuffer(b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in new), "<u8")])
+    return _table[np.fromiter(map(_index.__getitem__, words), np.int64, len(words))]
+
+
+def sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, code) of the distinct sequences of three words of each text with at least LEAST_WORDS words, sorted."""
+    found = [_WORD.findall((t or "").lower()) for t in texts]
+    n = np.array([len(w) if len(w) >= LEAST_WORDS else 0 for w in found], np.int64)
+    flat = [x for w in found if len(w) >= LEAST_WORDS for x in w]
+    if not flat:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    w = _codes(flat)
+    doc = np.repeat(np.arange(len(n)), n)
+    code = _mixed(_mixed(_mixed(w[:-2]) + w[1:-1]) + w[2:]).view(np.int64)
+    same = doc[:-2] == doc[2:]
+    doc, code = doc[:-2][same], code[same]
+    order = np.lexsort((code, doc))
+    doc, code = doc[order], code[order]
+    first = np.r_[True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])]
+    return doc[first], code[first]
+
+
+def _sizes(doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(texts, where each begins, members of each) of sorted rows."""
+    at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, np.int64)
+    return doc[at], at, np.diff(np.r_[at, len(doc)])
+
+
+def width(n: np.ndarray) -> np.ndarray:
+    """Bits of the fingerprint of a set of n members: two to four for each."""
+    return np.maximum(128, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+
+
+def fingerprints(doc: np.ndarray, code: np.ndarray) -> list[np.ndarray]:
+    """The fingerprint of each text, as 64-bit words."""
+    _, at, n = _sizes(doc)
+    w = width(n)
+    base = np.r_[0, np.cumsum(w)]
+    bit = np.repeat(base[:-1], n) + (_mixed(code.view(np.uint64)).view(np.int64) & (np.repeat(w, n) - 1))
+    flipped = (np.bincount(bit, minlength=int(base[-1])) & 1).astype(np.uint8)
+    packed = np.packbits(flipped, bitorder="little").view(np.uint64)
+    return [packed[base[k] // 64 : base[k + 1] // 64] for k in range(len(n))]
+
+
+def radius(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return (n + m) * (OF - TIMES) // (OF + TIMES)
+
+
+def _folded(fp: np.ndarray, words: int) -> np.ndarray:
+    """A fingerprint, or rows of them, at a smaller width: halves on each other, bits flipped as if it had been made so."""
+    while fp.shape[-1] > words:
+        half = fp.shape[-1] // 2
+        fp = fp[..., :half] ^ fp[..., half:]
+    return fp
+
+
+class Tree:
+    """A vantage-point tree over fingerprints of one width."""
+
+    def __init__(self, prints: np.ndarray, rows: np.ndarray) -> None:
+        self.prints, self.rows = prints, rows
+        self.inner: Tree | None = None
+        if len(rows) <= LEAF:
+            return
+        # the vantage point that splits best among a few
+        tries = rows[:: max(1, len(rows) // 5)][:5]
+        d = [np.bitwise_count(prints[rows] ^ prints[v]).sum(1).astype(np.int64) for v in tries]
+        best = int(np.argmax([x.std() for x in d]))
+        d, self.vantage = d[best], tries[best]
+        self.mu = int(np.median(d))
+        near = d <= self.mu
+        if near.all() or not near.any():
+            return
+        # the distances at the ends of both branches bound what a query can find there
+        self.near_most, self.far_least = int(d[near].max()), int(d[~near].min())
+        self.near_least, self.far_most = int(d[near].min()), int(d[~near].max())
+        self.inner, self.outer = Tree(prints, rows[near]), Tree(prints, rows[~near])
+
+    def query(self, fp: np.ndarray, r: int) -> list[np.ndarray]:
+        """Rows that lie within the distance r of a fingerprint, leaf by leaf."""
+        if self.inner is None:
+            d = np.bitwise_count(self.prints[self.rows] ^ fp).sum(1)
+            return [self.rows[d <= r]]
+        d = int(np.bitwise_count(self.prints[self.vantage] ^ fp).sum())
+        out = []
+        if self.near_least - r <= d <= self.near_most + r:
+            out += self.inner.query(fp, r)
+        if self.far_least - r <= d <= self.far_most + r:
+            out += self.outer.query(fp, r)
+        return out
+
+
+def shard_pairs(ids: np.ndarray, n: np.ndarray, prints: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> set[tuple[int, int]]:
+    """Pairs (least id first) within the radius of one shard: each text of block b is looked up among those of block a.
 
+    a, b: places of the texts of two blocks, the same places for a block with itself.
+    """
+    out: set[tuple[int, int]] = set()
+    words = np.array([len(p) for p in prints])
+    for w in np.unique(words[a]).tolist():
+        own = a[words[a] == w]
+        matrix = np.stack([prints[k] for k in own])
+        tree = Tree(matrix, np.arange(len(own)))
+        most = int(n[own].max())
+        for q in b.tolist():
+            size = int(n[q])
+            # the widths of similar texts differ by at most one step; the wider one is folded
+            if words[q] == 2 * w:
+                fp, t = _folded(prints[q], w), tree
+            elif words[q] == w:
+                fp, t = prints[q], tree
+            else:
+                continue
+            for hit in t.query(fp, int(radius(np.int64(size), np.int64(most)))):
+                for k in own[hit].tolist():
+                    m = int(n[k])
+                    # of two texts of one width and block each is looked up once
+                    if ids[k] != ids[q] and OF * min(m, size) >= TIMES * max(m, size) and int(np.bitwise_count(_folded(prints[k], w) ^ fp).sum()) <= (size + m) * (OF - TIMES) // (OF + TIMES):
+                        x, y = int(ids[k]), int(ids[q])
+                        out.add((min(x, y), max(x, y)))
+    return out
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both > 0 and OF * both >= TIMES * (len(x) + len(y) - both)
+
+def leaf_pairs(cell: np.ndarray, ids: np.ndarray, n: np.ndarray, prints: list[bytes]) -> set[tuple[int, int]]:
+    """Pairs within the radius of many shards that are no larger than a leaf, at once."""
+    o = np.lexsort((n, cell))
+    cell, ids, n = cell[o], ids[o], n[o]
+    words = np.array([len(prints[k]) // 8 for k in o.tolist()], np.int64)
+    slot = np.zeros(len(o), np.int64)
+    rows: dict[int, np.ndarray] = {}
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero(words == w)
+        slot[at] = np.arange(len(at))
+        rows[w] = np.frombuffer(b"".join(prints[o[k]] for k in at.tolist()), np.uint64).reshape(len(at), w)
+    narrow = {w: _folded(x, w // 2) for w, x in rows.items() if w // 2 in rows}
+    out: set[tuple[int, int]] = set()
+    left, k = np.arange(len(o)), 1
+    while len(left):
+        left = left[left + k < len(o)]
+        left = left[(cell[left] == cell[left + k]) & (OF * n[left] >= TIMES * n[left + k])]
+        for w in rows:
+            for other, table in ((w, rows[w]), (2 * w, narrow.get(2 * w))):
+                x = left[(words[left] == w) & (words[left + k] == other)]
+                if len(x):
+                    d = np.bitwise_count(rows[w][slot[x]] ^ table[slot[x + k]]).sum(1)
+                    x = x[d <= radius(n[x], n[x + k])]
+                    out.update((min(i, j), max(i, j)) for i, j in zip(ids[x].tolist(), ids[x + k].tolist()) if i != j)
+        k += 1
+    return out
 
 
 def _least(n: np.ndarray, times: int, of: int) -> np.ndarray:
@@ -57,95 +218,245 @@ def _least(n: np.ndarray, times: int, of: int) -> np.ndarray:
     return -(-n * times // of)
 
 
-def _frequent(docs: DataFrame, every: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes, sorted, and how many texts of a sample, one of each so many, hold them."""
+def _scan_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, key) for the texts, and rows (piece, counts) for the sketch of this task."""
+    counts = np.zeros(BUCKETS, np.int64)
+    kind = pa.int64()
+    for b in batches:
+        doc, code = sets(b.column(1).to_pylist())
+        counts += np.bincount(code & (BUCKETS - 1), minlength=BUCKETS)
+        docs, at, n = _sizes(doc)
+        ids = b.column(0).to_numpy(zero_copy_only=False)[docs] if len(docs) else np.empty(0, np.int64)
+        keys = [hashlib.blake2b(code[s : s + k].tobytes(), digest_size=16).digest() for s, k in zip(at.tolist(), n.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(keys, pa.binary()), pa.nulls(len(ids), pa.int32())], names=["id", "key", "piece"])
+    each = BUCKETS // PIECES
+    parts = [zlib.compress(counts[k * each : (k + 1) * each].astype(np.int64).tobytes(), 1) for k in range(PIECES)]
+    yield pa.RecordBatch.from_arrays([pa.nulls(PIECES, kind), pa.array(parts, pa.binary()), pa.array(range(PIECES), pa.int32())], names=["id", "key", "piece"])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *map(sequences, b.column(0).to_pylist())]))], names=["code"])
 
-    some = docs.filter(F.pmod(F.xxhash64("file_id"), F.lit(every)) == 0).select("text").mapInArrow(scan, "code bigint")
-    rows = some.groupBy("code").count().filter("count > 1").orderBy(F.desc("count"), "code").limit(KNOWN).toPandas().sort_values("code")
-    return rows["code"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            v = np.frombuffer(zlib.decompress(x), np.int64)
+            sums[k] = sums[k] + v if k in sums else v
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(np.minimum(v, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1) for v in sums.values()], pa.binary())], names=["piece", "key"])
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    return zlib.compress(np.stack([c.astype(np.int64) for c in columns]).view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes(), 1)
+
+
+def _unpacked(x: bytes, columns: int) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(x), np.uint8)
+    return np.ascontiguousarray(raw.reshape(columns, 8, -1).transpose(0, 2, 1)).view(np.int64).reshape(columns, -1)
+
 
+def near_pairs(docs: DataFrame, id_col: str = "file_id", text_col: str = "text") -> DataFrame:
+    """Distinct (file_id_a, file_id_b), a < b, of the rows (id, text); repeated rows are allowed."""
+    spark = docs.sparkSession
+    src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter(F.col(id_col).isNotNull() & (F.length(text_col) >= 2 * LEAST_WORDS - 1))
+    first = cut(src.mapInArrow(_scan_sets, "id bigint, key binary, piece int"))
+    sketch = first.filter("piece is not null").select("piece", "key").repartition("piece").mapInArrow(_summed, "piece int, key binary").collect()
+    order = {r["piece"]: np.frombuffer(zlib.decompress(r["key"]), np.uint32) for r in sketch}
+    counts = spark.sparkContext.broadcast(np.concatenate([order.get(k, np.zeros(BUCKETS // PIECES, np.uint32)) for k in range(PIECES)]))
 
-def near_pairs(docs: DataFrame) -> DataFrame:
-    """Distinct (file_id_a, file_id_b), a < b, of the rows (file_id, text); repeated rows are allowed."""
-    every = max(1, docs.count() // SAMPLE)
-    docs = docs.select("file_id", "text").filter(F.length("text") >= 2 * LEAST_WORDS - 1)
-    known = docs.sparkSession.sparkContext.broadcast(_frequent(docs, every))
+    members = first.filter("piece is null").groupBy("key", "id").agg(F.lit(1)).select("key", "id")
+    least = members.groupBy("key").agg(F.min("id").alias("class"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # only classes of several texts: (id, class)
+    copies = cut(members.join(least, "key").select("id", "class"))
+    others = copies.filter("id != class").select("id")
+    some = [r["id"] for r in others.limit(SENT + 1).collect()]
+    if len(some) <= SENT:
+        skip = spark.sparkContext.broadcast(np.array(sorted(some), np.int64))
+        chosen = src
+    else:
+        skip = spark.sparkContext.broadcast(np.empty(0, np.int64))
+        chosen = src.join(others, "id", "left_anti")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = known.value
+        """(part, rows, id, n, print): the first members of the texts, packed by part, and the fingerprints, to part 0 of their ids."""
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            code, ids, n, place = (np.concatenate([h[k] for h in held]) for k in range(4))
+            part = (_mixed(code.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            o = np.argsort(part, kind="stable")
+            part, code, ids, n, place = part[o], code[o], ids[o], n[o], place[o]
+            at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            packs = [_packed(code[s:e], ids[s:e], (n[s:e] << 32) + place[s:e]) for s, e in zip(at, np.r_[at[1:], len(part)])]
+            yield _rows(part[at], packs, pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), [None] * len(at))
+
         for b in batches:
-            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(3)]
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                s = sequences(t)
-                if n := len(s):
-                    if len(codes):
-                        at = np.minimum(np.searchsorted(codes, s), len(codes) - 1)
-                        s = s[np.lexsort((s, np.where(codes[at] == s, counts[at], 0)))]
-                    p = n - int(_least(np.int64(n), TIMES, OF)) + 1
-                    # codes of 40 bits and the two numbers in one: fewer bytes to move; equal short codes only add to what is compared
-                    for to, x in zip(out, (s[:p] & 0xFFFFFFFFFF, np.full(p, i), (n << 32) + np.arange(p))):
-                        to.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["code", "file_id", "place"])
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            doc, code = sets(b.column(1).to_pylist())
+            if len(skip.value) and len(doc):
+                at = np.minimum(np.searchsorted(skip.value, ids[doc]), len(skip.value) - 1)
+                keep = skip.value[at] != ids[doc]
+                doc, code = doc[keep], code[keep]
+            if not len(doc):
+                continue
+            each, at, n = _sizes(doc)
+            yield _rows((_mixed(ids[each].astype(np.uint64)) % np.uint64(parts)).astype(np.int64), [None] * len(each), pa.array(ids[each]), pa.array(n), [x.tobytes() for x in fingerprints(doc, code)])
+            rare = np.lexsort((code, counts.value[code & (BUCKETS - 1)], doc))
+            code = code[rare]
+            place = np.arange(len(doc)) - np.repeat(at, n)
+            size_of = np.repeat(n, n)
+            keep = place < size_of - _least(size_of, TIMES, OF) + 1
+            held.append((code[keep], ids[doc[keep]], size_of[keep], place[keep]))
+            size += int(keep.sum())
+            if size > 3_000_000:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = list(batches)
-        if not rows:
-            return
-        code, ids, place = (np.concatenate([b.column(k).to_numpy() for b in rows]) for k in range(3))
-        n, at = place >> 32, place & 0xFFFFFFFF
-        order = np.lexsort((ids, n, code))
-        code, ids, n, at = code[order], ids[order], n[order], at[order]
-        # with the k-th next row of the same code, for k = 1, 2, ...: n is not less there
-        left, k, found, held = np.arange(len(code)), 1, [], 0
-        while len(left := left[left + k < len(code)]) and len(left := left[code[left] == code[left + k]]):
+        """(id, cell, n, print): a text's shards (cell) and, passed through, its fingerprint."""
+        rows = [np.empty((3, 0), np.int64)]
+        for b in batches:
+            keep = b.column(2).is_valid()
+            own = b.filter(keep)
+            if own.num_rows:
+                yield pa.RecordBatch.from_arrays([own.column(2), pa.nulls(own.num_rows, pa.int64()), own.column(3), own.column(4)], names=["id", "cell", "n", "print"])
+            rows += [_unpacked(x, 3) for x in b.column(1).to_pylist() if x is not None]
+        code, ids, packed = np.concatenate(rows, 1)
+        n, place = packed >> 32, packed & 0xFFFFFFFF
+        o = np.lexsort((place, ids, n, code))
+        code, ids, n, place = code[o], ids[o], n[o], place[o]
+        once = np.r_[True, (code[1:] != code[:-1]) | (ids[1:] != ids[:-1])] if len(code) else np.empty(0, bool)
+        code, ids, n, place = code[once], ids[once], n[once], place[once]
+        # Texts of a shard that have a possible partner there.  By size: the partners of a text lie in one stretch of the
+        # shard.  By place: with a partner of m members the rest must hold 3/8 (n + m) of both; it is enough to try the least m.
+        rest = n - place
+        kept = np.zeros(len(code), bool)
+        k, left = 1, np.arange(len(code))
+        live = 8 * rest >= TIMES * (n + _least(n, TIMES, OF))  # with its smallest partner
+        while len(left) and k <= 64:
+            left = left[left + k < len(code)]
+            left = left[(code[left] == code[left + k]) & (OF * n[left] >= TIMES * n[left + k])] if len(left) else left
             x, y = left, left + k
-            left = left[fit := OF * n[x] >= TIMES * n[y]]
-            x, y = x[fit], y[fit]
-            # of a similar pair's first common member; its later ones need not pass
-            ok = (ids[x] != ids[y]) & (np.minimum(n[x] - at[x], n[y] - at[y]) >= _least(n[x] + n[y], TIMES, TIMES + OF))
-            x, y = ids[x[ok]], ids[y[ok]]
-            found.append((np.minimum(x, y), np.maximum(x, y)))
-            held += len(x)
+            ok = np.minimum(rest[x], rest[y]) >= _least(n[x] + n[y], TIMES, TIMES + OF)
+            kept[x[ok]] = True
+            kept[y[ok]] = True
             k += 1
-            if held > 4_000_000:
-                yield _distinct(found)
-                found, held = [], 0
-        if found:
-            yield _distinct(found)
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
-
-        def of(i: int, t: str) -> np.ndarray:
-            if i not in kept:
-                if len(kept) >= 2_000:
-                    kept.clear()
-                kept[i] = sequences(t)
-            return kept[i]
+        if len(left):  # long stretches: the texts that still have partners further on stay, if they may have one at all
+            kept[left[live[left]]] = True
+            for x in left.tolist():
+                stop = int(np.searchsorted(code, code[x], "right"))
+                stop = x + 1 + int(np.searchsorted(n[x + 1 : stop], OF * n[x] // TIMES, "right"))
+                kept[x + 1 : stop] |= live[x + 1 : stop]
+        if kept.any():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(code[kept]), pa.nulls(int(kept.sum()), pa.int64()), pa.nulls(int(kept.sum()), pa.binary())], names=["id", "cell", "n", "print"])
 
-        for b in batches:
-            a, c, s, t = (b.column(k).to_pylist() for k in range(4))
-            good = [(i, j) for i, j, x, y in zip(a, c, s, t) if similar(of(i, x), of(j, y))]
-            yield _pairs(np.array(good, np.int64).reshape(-1, 2))
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(a, b): the pairs within the radius of each shard, or of two blocks of one."""
+        small: list[tuple[np.ndarray, ...]] = []
+        held = 0
+
+        def leaves() -> pa.RecordBatch:
+            cell, ids, n = (np.concatenate([r[k] for r in small]) for k in range(3))
+            return _pairs(leaf_pairs(cell, ids, n, [p for r in small for p in r[3]]))
 
-    schema = "file_id_a bigint, file_id_b bigint"
-    parts = docs.mapInArrow(prefixes, "code bigint, file_id bigint, place bigint").repartition("code")
-    pairs = parts.mapInArrow(candidates, schema).distinct()
-    texts = pairs.join(docs.toDF("file_id_a", "text_a"), "file_id_a").join(docs.toDF("file_id_b", "text_b"), "file_id_b")
-    return texts.select("file_id_a", "file_id_b", "text_a", "text_b").mapInArrow(compared, schema).distinct()
+        for key, (ids, n, block, prints) in _grouped(batches):
+            ids, first = np.unique(ids, return_index=True)
+            n, block, prints = n[first], block[first], [prints[k] for k in first.tolist()]
+            if len(ids) < 2:
+                continue
+            if len(ids) <= LEAF and key[1] == key[2]:
+                small.append((np.full(len(ids), held), ids, n, prints))
+                held += len(ids)
+                if held > 40_000:
+                    yield leaves()
+                    small, held = [], 0
+                continue
+            rows = [np.frombuffer(x, np.uint64) for x in prints]
+            if key[1] == key[2]:
+                yield _pairs(shard_pairs(ids, n, rows, np.arange(len(ids)), np.arange(len(ids))))
+            else:
+                a, b = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
+                yield _pairs(shard_pairs(ids, n, rows, a, b) | shard_pairs(ids, n, rows, b, a))
+        if small:
+            yield leaves()
 
+    wide = "part int, packed binary, id bigint, n bigint, print binary"
+    spread = chosen.mapInArrow(prefixes, wide).repartition(parts, "part")
+    told = cut(spread.mapInArrow(candidates, "id bigint, cell bigint, n bigint, print binary"))
+    prints = told.filter("print is not null").select("id", "n", "print").dropDuplicates(["id"])
+    shards = told.filter("print is null").select("id", "cell").distinct()
+    # a large shard is cut into blocks; each text goes to the task of each pair of blocks that has its own
+    large = shards.groupBy("cell").count().filter(F.col("count") > SHARD).select("cell", F.ceil(F.col("count") / SHARD).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
+    placed = shards.join(large, "cell", "left").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    tasks = placed.select("id", "cell", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")
+    rows = tasks.join(prints, "id").select("cell", "x", "y", "block", "id", "n", "print").repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y")
+    near = cut(rows.mapInArrow(search, "a bigint, b bigint").distinct())
+    return _all_pairs(_compared(near, src), copies)
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], tuple]]:
+    """((cell, x, y), (ids, n, block, prints)) of rows sorted by their key, whole groups across batches."""
+    held: list[tuple] = []
+    now = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cell, x, y, block, ids, n = (b.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+        prints = b.column(6).to_pylist()
+        cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+        for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(cell)]):
+            key = (int(cell[s]), int(x[s]), int(y[s]))
+            if key != now:
+                if held:
+                    yield now, (*(np.concatenate([h[k] for h in held]) for k in range(3)), [p for h in held for p in h[3]])
+                held, now = [], key
+            held.append((ids[s:e], n[s:e], block[s:e], prints[s:e]))
+    if held:
+        yield now, (*(np.concatenate([h[k] for h in held]) for k in range(3)), [p for h in held for p in h[3]])
+
+
+def _rows(part: np.ndarray, packed: list, ids: pa.Array, n: pa.Array, prints: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(packed, pa.binary()), ids, n, pa.array(prints, pa.binary())], names=["part", "packed", "id", "n", "print"])
+
+
+def _pairs(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
+    x = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+
+
+def _compared(near: DataFrame, src: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are as similar as asked, by the sets themselves."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, code = sets(b.column(1).to_pylist())
+            each, at, n = _sizes(doc)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(each)), pa.array([code[s : s + k].tobytes() for s, k in zip(at.tolist(), n.tolist())], pa.binary())], names=["id", "members"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = set()
+            for a, c, x, y in zip(*(b.column(k).to_pylist() for k in range(4))):
+                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both and OF * both >= TIMES * (len(x) + len(y) - both):
+                    good.add((a, c))
+            yield _pairs(good)
 
-def _pairs(x: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["file_id_a", "file_id_b"])
+    ids = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id"))).distinct()
+    ids = F.broadcast(ids) if ids.count() <= SENT else ids
+    full = cut(src.join(ids, "id", "left_semi").mapInArrow(of, "id bigint, members binary").dropDuplicates(["id"]))
+    both = near.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(test, "a bigint, b bigint").distinct()
 
 
-def _distinct(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    x, y = (np.concatenate([f[k] for f in found]) for k in range(2))
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    first = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][: len(x)]
-    return _pairs(np.stack([x[first], y[first]], 1))
+def _all_pairs(pairs: DataFrame, copies: DataFrame) -> DataFrame:
+    """Pairs of classes as pairs of their texts, and the pairs inside the classes."""
+    names = ("file_id_a", "file_id_b")
+    one = copies.toDF("a_id", "a")
+    two = copies.toDF("b_id", "b")
+    across = pairs.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("a_id", "a").alias("x"), F.coalesce("b_id", "b").alias("y"))
+    inside = copies.toDF("x", "class").join(copies.toDF("y", "class"), "class").filter("x < y").select("x", "y")
+    return across.unionByName(inside).select(F.least("x", "y").alias(names[0]), F.greatest("x", "y").alias(names[1])).distinct()

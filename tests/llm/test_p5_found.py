@@ -1,28 +1,83 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 import __spark_entry__ as entry
+from folioscope.llm import near
+from folioscope.llm.near import fingerprints, leaf_pairs, radius, sets, shard_pairs
 
 
-def _set(text):
+def members(text):
     w = re.findall(r"[^\W_]+", (text or "").lower())
     return {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 40 else set()
 
 
-def test_as_many_pairs_as_by_comparing_all(spark, tmp_path):
-    rnd = random.Random(5)
-    texts = []
-    for _ in range(12):
-        base = [f"w{rnd.randrange(400)}" for _ in range(rnd.choice([39, 40, 45, 120]))]
-        for changes in range(8):
+def similar(rows):
+    of = {i: members(t) for i, t in rows}
+    return {(a, b) for a, x in of.items() for b, y in of.items() if a < b and x and y and 5 * len(x & y) >= 3 * len(x | y)}
+
+
+def texts(seed, families, copies):
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(families):
+        base = [f"w{rnd.randrange(400)}" for _ in range(rnd.choice([39, 40, 45, 120, 300]))]
+        for changes in range(copies):
             w = base[:]
             for _ in range(changes * len(w) // 40):
                 w[rnd.randrange(len(w))] = f"w{rnd.randrange(400)}"
-            texts.append(rnd.choice([" ", ", ", "\n"]).join(w + ["the closing words that all the texts share here"] * rnd.randrange(2)))
-    rows = [*enumerate(texts), (3, texts[3]), (500, None), (501, ""), (502, texts[20].upper())]
-    spark.createDataFrame(rows, "file_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/file_extract.parquet")
-    sets = {i: _set(t) for i, t in rows}
-    want = {(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and x and y and 5 * len(x & y) >= 3 * len(x | y)}
-    got = list(map(tuple, entry.queries()["p5_found"](spark, str(tmp_path)).collect()))
+            out.append(rnd.choice([" ", ", ", "\n"]).join(w + ["the closing words that all the texts share here"] * rnd.randrange(2)))
+    return out
+
+
+def run(spark, tmp_path, rows, name):
+    spark.createDataFrame(rows, "file_id bigint, text string").selectExpr("*", "1 AS id", "2 AS cell").repartition(3).write.parquet(f"{tmp_path}/{name}/file_extract.parquet")
+    df = entry.queries()["p5_found"](spark, f"{tmp_path}/{name}")
+    assert df.dtypes == [("file_id_a", "bigint"), ("file_id_b", "bigint")]
+    got = list(map(tuple, df.collect()))
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+def test_as_many_pairs_as_by_comparing_all(spark, tmp_path, monkeypatch):
+    t = texts(5, 12, 8)
+    rows = [*enumerate(t), (3, t[3]), (500, None), (501, ""), (502, t[20].upper()), (503, t[20]), (504, t[25]), (505, "x" * 200_000)]
+    want = similar(dict(rows).items())
     assert len(want) > 40
-    assert len(got) == len(set(got)) and set(got) == want
+    assert run(spark, tmp_path, rows, "leaves") == want
+    # trees, blocks of shards, and classes too many to send
+    monkeypatch.setattr(near, "LEAF", 2)
+    monkeypatch.setattr(near, "SHARD", 3)
+    monkeypatch.setattr(near, "SENT", 0)
+    assert run(spark, tmp_path, rows, "blocks") == want
+
+
+def test_empty(spark, tmp_path):
+    assert run(spark, tmp_path, [], "empty") == set()
+
+
+@pytest.mark.parametrize("leaf", [2, 48])
+def test_the_trees_lose_no_pair_within_the_radius(leaf, monkeypatch):
+    monkeypatch.setattr(near, "LEAF", leaf)
+    doc, code = sets(texts(9, 10, 12))
+    ids, n = np.unique(doc, return_counts=True)
+    prints = fingerprints(doc, code)
+    of = {k: set(code[doc == i].tolist()) for k, i in enumerate(ids)}
+    want = {(int(ids[a]), int(ids[b])) for a in of for b in of if a < b and 5 * len(of[a] & of[b]) >= 3 * len(of[a] | of[b])}
+    everything = np.arange(len(ids))
+    tree = shard_pairs(ids, n, prints, everything, everything)
+    assert want and want <= tree == leaf_pairs(np.zeros(len(ids)), ids, n, [p.tobytes() for p in prints])
+
+
+def test_the_fingerprints_distance_is_at_most_the_difference():
+    doc, code = sets(texts(2, 6, 6))
+    ids, n = np.unique(doc, return_counts=True)
+    prints = fingerprints(doc, code)
+    for a in range(len(ids)):
+        for b in range(len(ids)):
+            w = min(len(prints[a]), len(prints[b]))
+            d = int(np.bitwise_count(near._folded(prints[a], w) ^ near._folded(prints[b], w)).sum())
+            assert d <= len(set(code[doc == ids[a]]) ^ set(code[doc == ids[b]]))
+    assert radius(np.int64(100), np.int64(60)) == 40
