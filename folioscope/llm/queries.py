@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.encoding import damaged_documents
 from folioscope.llm.leaks import leaks
 from folioscope.llm.mail import new_lines
+from folioscope.llm.mix import mix, shares
 from folioscope.llm.names import same_party
 from folioscope.llm.near import near_pairs
 from folioscope.llm.pii import pii_values
@@ -62,6 +63,16 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is used for each source of the mix."""
+    return mix(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source got: documents, uses, tokens, and its share of the mix beside its target."""
+    return shares(p8_mix(spark, sf_dir), _table(spark, sf_dir, "mix_targets"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document whose own words hold characters read in the wrong encoding."""
     return damaged_documents(_table(spark, sf_dir, "documents"))
