@@ -25,10 +25,13 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +44,8 @@ BUCKETS, PIECES = 1 << 20, 64
 #: Texts of a leaf of a tree; texts of a shard that one task searches; ids that are sent to every executor at most.
 LEAF, SHARD, SENT = 48, 4096, 1_000_000
 _WORD = re.compile(r"[^\W_]+")
-_index: dict[str, int] = {}
+#: Places of the words in _table, given out in the order in which they come.
+_index: defaultdict[str, int] = defaultdict(count().__next__)
 _table = np.empty(0, np.uint64)
 
 
@@ -53,24 +57,21 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _codes(words: list[str]) -> np.ndarray:
     """64-bit codes of words, the same in every process."""
-    global _table
-    new = [w for w in dict.fromkeys(words) if w not in _index]
-    if new:
-        if len(_index) > 1_000_000:
-            _index.clear()
-            _table = np.empty(0, np.uint64)
-            new = list(dict.fromkeys(words))
-        for k, w in enumerate(new, len(_index)):
-            _index[w] = k
-        _table = np.concatenate([_table, np.frombuffer(b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in new), "<u8")])
-    return _table[np.fromiter(map(_index.__getitem__, words), np.int64, len(words))]
+    global _index, _table
+    if len(_index) > 1_000_000:
+        _index, _table = defaultdict(count().__next__), np.empty(0, np.uint64)
+    at = np.fromiter(map(_index.__getitem__, words), np.int64, len(words))
+    if len(_index) > len(_table):
+        new = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in islice(_index, len(_table), None))
+        _table = np.concatenate([_table, np.frombuffer(new, "<u8")])
+    return _table[at]
 
 
 def sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(text, code) of the distinct sequences of three words of each text with at least LEAST_WORDS words, sorted."""
-    found = [_WORD.findall((t or "").lower()) for t in texts]
-    n = np.array([len(w) if len(w) >= LEAST_WORDS else 0 for w in found], np.int64)
-    flat = [x for w in found if len(w) >= LEAST_WORDS for x in w]
+    found = [w if len(w := _WORD.findall((t or "").lower())) >= LEAST_WORDS else [] for t in texts]
+    n = np.fromiter(map(len, found), np.int64, len(found))
+    flat = list(chain.from_iterable(found))
     if not flat:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     w = _codes(flat)
@@ -78,8 +79,13 @@ def sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     code = _mixed(_mixed(_mixed(w[:-2]) + w[1:-1]) + w[2:]).view(np.int64)
     same = doc[:-2] == doc[2:]
     doc, code = doc[:-2][same], code[same]
-    order = np.lexsort((code, doc))
-    doc, code = doc[order], code[order]
+    # one key for text and the larger part of the code sorts faster than both; where that part is not enough, by both
+    key = (doc << 44) | ((code >> 20) & ((1 << 44) - 1))
+    order = np.argsort(key)
+    key, doc, code = key[order], doc[order], code[order]
+    if len(n) >= 1 << 19 or ((key[1:] == key[:-1]) & (code[1:] != code[:-1])).any():
+        order = np.lexsort((code, doc))
+        doc, code = doc[order], code[order]
     first = np.r_[True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])]
     return doc[first], code[first]
 
@@ -244,11 +250,12 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(*columns: np.ndarray) -> bytes:
-    return zlib.compress(np.stack([c.astype(np.int64) for c in columns]).view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes(), 1)
+    """Columns byte by byte, so that what varies little lies together."""
+    return zstandard.ZstdCompressor(level=1).compress(np.stack([c.astype(np.int64) for c in columns]).view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1).tobytes())
 
 
 def _unpacked(x: bytes, columns: int) -> np.ndarray:
-    raw = np.frombuffer(zlib.decompress(x), np.uint8)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8)
     return np.ascontiguousarray(raw.reshape(columns, 8, -1).transpose(0, 2, 1)).view(np.int64).reshape(columns, -1)
 
 
@@ -300,7 +307,7 @@ def near_pairs(docs: DataFrame, id_col: str = "file_id", text_col: str = "text")
                 continue
             each, at, n = _sizes(doc)
             yield _rows((_mixed(ids[each].astype(np.uint64)) % np.uint64(parts)).astype(np.int64), [None] * len(each), pa.array(ids[each]), pa.array(n), [x.tobytes() for x in fingerprints(doc, code)])
-            rare = np.lexsort((code, counts.value[code & (BUCKETS - 1)], doc))
+            rare = np.argsort((doc << 32) | counts.value[code & (BUCKETS - 1)], kind="stable")
             code = code[rare]
             place = np.arange(len(doc)) - np.repeat(at, n)
             size_of = np.repeat(n, n)
