@@ -1,14 +1,18 @@
 """Credentials in code and configuration texts: find, blank out, keep the file usable.
 
-Token formats, key armour, connection strings, command-line forms and ``key = value``
-grammars are compiled patterns that are scanned one by one; none runs over more of a line than
-the credential and its name, so the time follows the text's length.  Overlapping spans are
-joined, and placeholders are spliced into the original text, leaving every other character
+All grammars (token formats, key armour, connection strings, command-line forms, ``key = value``
+forms, sentences that tell a password) go into one deterministic automaton, which reports every
+place where one of them can be complete.  It scans a text once, in chunks of any size; its state is
+carried over a chunk's end, so no chunk has to overlap the next and none changes the result.  What
+an automaton can't tell (what stands before and after a match, whether the quotes are alike, where
+the value is) is checked by the grammar's own pattern on the line of the report.  Overlapping spans
+are joined, and placeholders are spliced into the original text, leaving every other character
 (quotes, keys, line ends) as it was.
 
 Defined cases: null or empty text gives no span and is returned as it is; repeated rows give
-the same spans; extra columns are ignored by :func:`secret_spans` and kept by
-:func:`redact_secrets`.
+the same spans; a key's armour without a line of key in it is no key, and an unclosed one ends with
+the last line that can belong to a key; extra columns are ignored by :func:`secret_spans` and kept
+by :func:`redact_secrets`.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscope.llm.automaton import Automaton
+
 PLACEHOLDER = "[SECRET]"
 
 _VENDOR = (
@@ -31,7 +37,10 @@ _VENDOR = (
     r"|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|[a-z]{2,8}_(?:pat|live|prod|test|key|tok|secret)_[A-Za-z0-9]{16,}"
     r"|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{6,})(?![A-Za-z0-9])"
 )
-_ARMOUR = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----[\s\S]*?(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----|\Z)"
+_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: What a line of a key can hold besides marks of quoting: Base64, header fields, nothing.
+_BODY = re.compile(r"[ \t>#*|\"'`+,;/\\]*(?:[A-Za-z0-9+/=\\_\-]{8,}|[A-Za-z0-9+/]{1,7}={0,2}|[A-Za-z][A-Za-z\-]+: [^\n]*|(?:\\n)?)[ \t\"'`+,;\\)\r]*\Z")
 _URL = r"\b[a-zA-Z][a-zA-Z0-9+.\-]{1,30}://[^\s:/@'\"<>]*:(?P<url>[^\s/'\"<>]+?)@(?=[A-Za-z0-9\[])"
 #: Names whose value is a credential; the name must end with one of them.
 _NAME = (
@@ -64,10 +73,56 @@ _PROSE = (
     r"|(?i:\b(?:login|zugang|acceso|acc(?:è|e)s|account|user)\b)[^\n/]{0,40}?[ \t]/[ \t](?P<login>\S+)"
 )
 
-#: Each grammar is scanned on its own, so that no match hides one of another grammar.
-_GRAMMARS = {k: re.compile(p, re.M) for k, p in (("armour", _ARMOUR), ("url", _URL), ("basic", _BASIC), ("bearer", _BEARER), ("option", _OPTION), ("pgpass", _PGPASS), ("vendor", _VENDOR), ("prose", _PROSE))}
+#: Names that tell nothing: their value must look like a credential by itself.  Separated by a comma only where both are quoted.
+_PLAIN = re.compile(
+    r"(?i)(?<![\w.\-])(?:process\.env\.)?(?P<n>[a-z]{1,2}\d{0,2}|conn|login|value|val|tmp|data|foo)(?:[\"'`]?\]?\)?[ \t]*(?:=>|:=|=|:)[ \t]*|[\"'`][ \t]*,[ \t]*(?=[\"'`])|[\"'][ \t]+value[ \t]*=[ \t]*)"
+    r"(?:\"(?P<d>[^\"\s]*)\"|'(?P<s>[^'\s]*)'|`(?P<b>[^`\s]*)`|(?P<r>[^\s\"'`,;<>(){}\[\]]+))"
+)
+_LEFT_OVER = re.compile(r"(?i)\b(?:todo|fixme)\b[ \t]+(?:remove|delete|drop|rotate|revoke|replace)\b[^\n:]*:[ \t]*(?P<v>[^\s\"'`]+)")
+#: One string written as two, over a line's end.
+_SPLIT = re.compile(r"(?P<n>[A-Za-z_]\w*)[\"'`]?[ \t]*(?:=>|:=|=|:)[ \t]*\(?[ \t]*(?P<q>[\"'`])(?P<a>[^\"'`\s]+)(?P=q)[ \t]*(?:\+|\.|&|\\)[ \t]*\\?[ \t]*\r?\n[ \t]*(?:\+[ \t]*)?(?P=q)(?P<z>[^\"'`\s]+)(?P=q)")
+_HARMLESS = re.compile(r"(?i)hash|digest|uuid|url|path|dir|color|version|checksum|sum|sha|_id$|^id$")
+_UUID = re.compile(r"(?i)\A[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z")
+#: The grammars' own patterns, each run on the lines on which the automaton reports it.
+_GRAMMARS = {k: re.compile(p, re.M) for k, p in (("url", _URL), ("basic", _BASIC), ("bearer", _BEARER), ("option", _OPTION), ("pgpass", _PGPASS), ("vendor", _VENDOR), ("prose", _PROSE))}
 #: Run on the text in lower case, which spares the engine the case-insensitive search at each character.
 _ASSIGNED = re.compile(_ASSIGN)
+#: What each grammar cannot do without, for the automaton: (pattern, whether case is ignored).
+_NAMES_ONLY = _NAME.replace("(?<!s)", "")
+_PATTERNS = {
+    "armour": (r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----", False),
+    "url": (r"://[^\s:/@'\"<>]*:[^\s/'\"<>]+@", False),
+    "basic": (r"(?:authorization|auth_header|auth[_\-]?header|x-api-key|x-auth-token)[\"'`]?[ \t]*(?:=>|[:=,>])", True),
+    "bearer": (r"(?:Bearer|Basic)[ \t]+[A-Za-z0-9+/=_\-.]{12}", False),
+    "option": (r"--(?:password|passwd|pass|token|secret|api-key)[= \t]", True),
+    "pgpass": (r"[\w.*\-]:(?:\d+|\*):[^\s:]+:[^\s:]+:[^\s\"':]", False),
+    "vendor": (
+        r"AKIA[0-9A-Z]{12}|ASIA[0-9A-Z]{16}|AIza[0-9A-Za-z_\-]{20}|gh[pousr]_[A-Za-z0-9]{20}|github_pat_[A-Za-z0-9_]{20}|glpat-[A-Za-z0-9_\-]{16}|xox[abeoprs]-[A-Za-z0-9\-]{10}"
+        r"|(?:sk|rk|pk)_(?:live|test|prod)_[A-Za-z0-9]{12}|sk-(?:ant-|proj-)?[A-Za-z0-9_\-]{20}|npm_[A-Za-z0-9]{30}|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16}"
+        r"|[a-z]{2}_(?:pat|live|prod|test|key|tok|secret)_[A-Za-z0-9]{16}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{6}",
+        False,
+    ),
+    "prose": (
+        r"(?:wi-?fi|wlan|vpn)(?:[ \t]+(?:password|passphrase|key|passwort|pw|clave|code))?[ \t]*[:=]"
+        r"|(?:pw|pwd|passw(?:or)?d|password|passphrase|passwort|kennwort|mot de passe|contrase(?:ñ|n)a|clave|pin|secret|token)[ \t:]|[ \t]/[ \t]",
+        True,
+    ),
+    "command": (r"curl|mysql|mysqldump|mariadb|sshpass|sqlcmd|redis-cli|ldapsearch", False),
+    "plain": (r"[^\w.\-](?:process\.env\.)?(?:[a-z][a-z]?\d?\d?|conn|login|value|val|tmp|data|foo)(?:[\"'`]?\]?\)?[ \t]*[:=]|[\"'`][ \t]*,|[\"'][ \t]+value)", True),
+    "left_over": (r"(?:todo|fixme)[ \t]+(?:remove|delete|drop|rotate|revoke|replace)[^\n:]*:", True),
+    "split": (r"[\"'`][ \t]*(?:\+|\.|&|\\)[ \t]*\\?[ \t]*\r?\n", False),
+    "assign": (_NAMES_ONLY + r"[\"'`]?\]?[ \t]*(?:=>|:=|=|:|,|>)|" + _NAMES_ONLY + r"[\"'][ \t]+value[ \t]*=", True),
+}
+_built: list[Automaton] = []
+
+
+def automaton() -> Automaton:
+    """The automaton of all grammars, built once in each process."""
+    if not _built:
+        _built.append(Automaton(_PATTERNS))
+    return _built[0]
+
+
 _PLACE = re.compile(
     r"(?ix)\A(?:|[x*•.\-_#?]{3,}|x+|<[^<>]*>|\[[^\[\]]*\]|\$\{[^{}]*\}?|\$\([^()]*\)?|\$[A-Za-z_]\w*|%\([^()]*\)s?|%\w+%|%[sd]|\{+[^{}]*\}+|@\w+@|@\w+\.\w+\(.*|.*\{\{.*|none|null|nil|undefined|true|false|yes|no|n/?a|tbd|todo|unset|empty|debug|info|example.*|sample.*|dummy.*|placeholder.*"
     r"|change[_\-]?(?:me|it|this).*|replace[_\-]?(?:me|this|it)?.*|insert.*|enter.*|redacted.*|your[_\-. ].*|my[_\-](?:password|secret|token|key).*|(?:password|passwd|secret|token|pass|apikey|api[_\-]key|test)"
@@ -104,61 +159,126 @@ def _good(group: str | None, value: str, rest: str, key: str = "", sep: str = ""
     return True
 
 
+def _strong(v: str) -> bool:
+    """Whether a value looks like a credential, whatever it is called."""
+    if len(v) < 7 or v[0] in "#/.<$@{[(" or "://" in v or _UUID.match(v) or _PLACE.match(v) or re.match(r"(?i)sha\d|\d+[.,\d]*\Z|[\w.\-]+\.[a-z]{2,}\Z|[\w.\-]+@", v):
+        return False
+    if re.fullmatch(r"[0-9a-f]{32,}", v):
+        return bool(re.search(r"\d", v) and re.search(r"[a-f]", v))
+    if re.fullmatch(r"[a-z]{3,}(?:-[a-z]{2,}){3,}", v):
+        return True
+    if not (re.search(r"\d", v) and re.search(r"[A-Za-z]", v)):
+        return False
+    return bool(re.search(r"[a-z]", v) and re.search(r"[A-Z]", v)) or bool(re.search(r"[!#$%&*+/=?@^~]", v))
+
+
 def _lower(text: str) -> str:
     """In lower case, with every character at its place."""
     low = text.lower()
     return low if len(low) == len(text) else "".join(c if len(x := c.lower()) != 1 else x for c in text)
 
 
-def _matches(text: str) -> Iterator[tuple[str | None, int, int]]:
+def _armoured(text: str, m: re.Match) -> int | None:
+    """Where the key ends whose armour begins with m; None if it holds no key."""
+    stop = text.find("\n", m.end())
+    stop = stop if stop >= 0 else len(text)
+    if e := _END.search(text, m.end(), stop):
+        return e.end()
+    at, body = stop, bool(re.search(r"[A-Za-z0-9+/=]{16}", text[m.end() : stop]))
+    end = stop if body else None
+    while at < len(text):
+        nxt = text.find("\n", at + 1)
+        nxt = nxt if nxt >= 0 else len(text)
+        line = text[at + 1 : nxt]
+        if e := _END.search(line):
+            return at + 1 + e.end() if body else None
+        if not _BODY.match(line):
+            break
+        if ": " not in line:
+            body = body or bool(re.search(r"[A-Za-z0-9+/]", line))
+            if re.search(r"[A-Za-z0-9+/=]{8}|[A-Za-z0-9+/]=+\r?\Z", line):
+                end = nxt
+        at = nxt
+    return end
+
+
+def _matches(text: str, chunk: int = 1 << 16) -> Iterator[tuple[str | None, int, int]]:
     """(group, start, end) of all that the grammars match and :func:`_good` accepts."""
 
     def rest(e: int) -> str:
         stop = text.find("\n", e)
         return text[e : stop if stop >= 0 else len(text)][:200]
 
-    for rx in _GRAMMARS.values():
-        groups, pos = [g for g in rx.groupindex if g != "q2"], 0
-        while (m := rx.search(text, pos)) is not None:
-            g = next((x for x in groups if m.group(x) is not None), None)
-            s, e = m.span(g) if g else m.span()
-            if g in ("wifi", "prose", "login"):
-                e -= len(m.group(g)) - len(m.group(g).rstrip(".,;:!?)\"'`"))
-                s += len(m.group(g)) - len(m.group(g).lstrip("(\"'`"))
-            if e > s and _good(g, text[s:e], rest(e)):
-                yield g, s, e
-                pos = m.end()
-            else:  # what was refused may hold the start of another match
-                pos = m.start() + 1
-    for command, option in _COMMANDS:
-        pos = 0
-        while (c := command.search(text, pos)) is not None:
-            stop = text.find("\n", c.end())
-            pos = stop if stop >= 0 else len(text)
-            at = c.end()
-            while (m := option.search(text, at, pos)) is not None:
+    reported: dict[str, dict[int, int]] = {}
+    # a line's end before the text gives every name a character on its left
+    for name, end in automaton().scan("\n" + text, chunk):
+        end -= 1
+        lines = reported.setdefault(name, {})
+        start = text.rfind("\n", 0, end - 1) + 1
+        if start not in lines:
+            stop = text.find("\n", end - 1)
+            lines[start] = stop if stop >= 0 else len(text)
+    for start, stop in reported.get("armour", {}).items():
+        for m in _BEGIN.finditer(text, start, stop):
+            if (e := _armoured(text, m)) is not None:
+                yield None, m.start(), e
+    for name, rx in _GRAMMARS.items():
+        groups = [g for g in rx.groupindex if g != "q2"]
+        for pos, stop in reported.get(name, {}).items():
+            while (m := rx.search(text, pos, stop)) is not None:
+                g = next((x for x in groups if m.group(x) is not None), None)
+                s, e = m.span(g) if g else m.span()
+                if g in ("wifi", "prose", "login"):
+                    e -= len(m.group(g)) - len(m.group(g).rstrip(".,;:!?)\"'`"))
+                    s += len(m.group(g)) - len(m.group(g).lstrip("(\"'`"))
+                if e > s and _good(g, text[s:e], rest(e)):
+                    yield g, s, e
+                    pos = m.end()
+                else:  # what was refused may hold the start of another match
+                    pos = m.start() + 1
+    for start, stop in reported.get("command", {}).items():
+        for command, option in _COMMANDS:
+            c = command.search(text, start, stop)
+            at = c.end() if c else stop
+            while c and (m := option.search(text, at, stop)) is not None:
                 s, e = m.span("v")
                 if _good("cli", text[s:e], rest(e)):
                     yield "cli", s, e
                     at = m.end()
                 else:
                     at = m.start() + 1
-    low, pos = _lower(text), 0
-    while (m := _ASSIGNED.search(low, pos)) is not None:
-        pos = m.start() + 1
-        if text[m.start() - 1 : m.start()].isdigit():
-            continue
-        g = next(x for x in ("ad", "as", "ab", "ar") if m.group(x) is not None)
-        s, e = m.span(g)
-        if e > s and _good(g, text[s:e], rest(e), m.group("key"), m.group("sep")):
-            yield g, s, e
-            pos = m.end()
-
-
-def find_secrets(text: str | None) -> list[tuple[int, int]]:
+    for start, stop in reported.get("plain", {}).items():
+        for m in _PLAIN.finditer(text, start, stop):
+            g = next(x for x in "dsbr" if m[x] is not None)
+            if _strong(m[g]) and not (g == "r" and text[m.start(g) - 1] == ":") and not (m["n"].lower() == "value" and "key=" in text[start : m.start()].lower()):
+                yield None, *m.span(g)
+    for start, stop in reported.get("left_over", {}).items():
+        for m in _LEFT_OVER.finditer(text, start, stop):
+            if _strong(m["v"]):
+                yield None, *m.span("v")
+    for start in reported.get("split", {}):
+        for m in _SPLIT.finditer(text, start, min(len(text), start + 4000)):
+            if (_strong(m["a"] + m["z"]) or _GRAMMARS["vendor"].fullmatch(m["a"] + m["z"])) and not _HARMLESS.search(m["n"]):
+                yield None, *m.span("a")
+                yield None, *m.span("z")
+    assigned = reported.get("assign", {})
+    low = _lower(text) if assigned else ""
+    for pos, stop in assigned.items():
+        while (m := _ASSIGNED.search(low, pos, stop)) is not None:
+            pos = m.start() + 1
+            if text[m.start() - 1 : m.start()].isdigit():
+                continue
+            g = next(x for x in ("ad", "as", "ab", "ar") if m.group(x) is not None)
+            s, e = m.span(g)
+            if e > s and _good(g, text[s:e], rest(e), m.group("key"), m.group("sep")):
+                yield g, s, e
+                pos = m.end()
+
+
+def find_secrets(text: str | None, chunk: int = 1 << 16) -> list[tuple[int, int]]:
     """Absolute spans (start, end) of credential values in one text, sorted, without overlaps."""
     out: list[tuple[int, int]] = []
-    for s, e in sorted({(s, e) for _, s, e in _matches(text or "")}, key=lambda x: (x[0], -x[1])):
+    for s, e in sorted({(s, e) for _, s, e in _matches(text or "", chunk)}, key=lambda x: (x[0], -x[1])):
         if out and s < out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], e))
         else:
