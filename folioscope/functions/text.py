@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space as scripts count it (also no-break and typographic blanks), for use inside a character class.
-BLANKS = r"\s   -     　﻿"
+BLANKS = r"\s" + "".join(map(chr, (0xA0, 0x1680))) + f"{chr(0x2000)}-{chr(0x200A)}" + "".join(map(chr, (0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 #: A word's bound by ASCII letters, digits and the underscore; Java's own \b also counts other letters.
 BOUND = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
