@@ -35,6 +35,8 @@ from folioscope.operators.graph import cut
 
 #: Share of the corpus presumed for every character; bits below which a pair is improbable; bits that a one-byte mapping must gain.
 PRIOR, FLOOR, GAIN, COMMON = 0.01, 0.0, 7.0, 1e-4
+#: Pairs on each side of an improbable one in which a segment is looked for.
+REACH = 32
 #: Encodings in which bytes of UTF-8 may have been read.
 CODECS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1254", "iso8859_2", "iso8859_15", "koi8_r", "gb18030", "shift_jis", "big5")
 #: (written in, read in) of one-byte encodings.
@@ -230,15 +232,34 @@ def one_byte(before: str, run: str, after: str, info: Information) -> str | None
     return best
 
 
+def _improbable(text: str, score: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The maximum-scoring segments of the windows of REACH pairs around each character above ASCII that stands in an improbable pair.
+
+    Every improbable pair lies in a segment; a character whose pairs are all probable is no damage, so the rest of the text is left out.
+    """
+    high = np.flatnonzero(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) > 0x7F)
+    up = score > 0
+    hit = high[up[np.maximum(high - 1, 0)] | up[np.minimum(high, len(score) - 1)]] if len(score) else high[:0]
+    at = 0
+    while at < len(hit):
+        last = at
+        while last + 1 < len(hit) and hit[last + 1] - hit[last] <= 2 * REACH:
+            last += 1
+        lo, hi = max(0, int(hit[at]) - REACH), min(len(score), int(hit[last]) + REACH)
+        for s, e in segments(score[lo:hi]):
+            yield s + lo, e + lo
+        at = last + 1
+
+
 def damaged(text: str | None, info: Information) -> list[tuple[int, int, str | None]]:
     """(start, end, original) of the damaged runs of a text; the original is None where it can't be restored."""
     if not text or text.isascii():
         return []
-    bits = info.of(text)
+    score = FLOOR - info.of(text)
     out: list[tuple[int, int, str | None]] = []
     alone: list[tuple[int, int, str | None]] = []
     seen: set[int] = set()
-    for s, e in segments(FLOOR - bits):
+    for s, e in _improbable(text, score):
         for m in _RUN.finditer(text, s, e + 1):
             # the whole run, if the segment begins or ends inside it
             a, b = m.span()
