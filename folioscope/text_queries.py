@@ -11,6 +11,7 @@ from folioscope.operators import catalog as c
 from folioscope.operators import detect as d
 from folioscope.operators import model as m
 from folioscope.queries import _SQL, _WITH, cat, ext, on_catalog, query, table
+from folioscope.sources.extract import extracted
 
 
 def on_extracts(name: str, f, sql: str | None) -> None:
@@ -203,3 +204,32 @@ _SQL["rules_settled"] = _WITH.rstrip() + (
     " SELECT file_id, CASE WHEN u3 THEN 'restricted' ELSE l2 END AS level, CASE WHEN u1 OR u2 OR u3 THEN CASE WHEN u1 THEN l0 WHEN u2 THEN l1 ELSE l2 END END AS raised_from, concat_ws('; ', CASE WHEN low THEN 'lowered from restricted: no evidence found' END, CASE WHEN u1 THEN 'detected ' || fr END, CASE WHEN u2 THEN 'contains credentials' END,"
     " CASE WHEN u3 THEN 'columns with ' || array_to_string(list_filter(list_transform(hot, lambda p, i: CASE WHEN list_position(list_transform(hot, lambda q: q.data), p.data) = i THEN replace(p.data, '_', ' ') END), lambda x: x IS NOT NULL), ', ') END) AS reasons FROM d3"
 )
+
+# ---- extractors over the texts' bytes
+
+
+@query("SELECT file_id, ext, octet_length(encode(text)) AS size, CASE WHEN kind = 'code' THEN 'code' ELSE 'text' END AS kind, 'text' AS extract_method, text FROM ext WHERE ext IN ('txt', 'md', 'log', 'py', 'js', 'ts', 'sql', 'java', 'sh', 'php', 'json', 'yaml', 'toml', 'ini', 'conf', 'properties', 'xml') AND length(text) > 0")
+def extract_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and code as bytes, through the extractor and back."""
+    plain = ("txt", "md", "log", "py", "js", "ts", "sql", "java", "sh", "php", "json", "yaml", "toml", "ini", "conf", "properties", "xml")
+    files = ext(spark, sf_dir).filter(F.col("ext").isin(*plain) & (F.length("text") > 0)).select("file_id", F.concat(F.lit("f."), "ext").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return extracted(files).select("file_id", "ext", "size", "kind", "extract_method", "text")
+
+
+@query()
+def extract_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mails as bytes through the extractor: title and text."""
+    files = ext(spark, sf_dir).filter("kind = 'email'").select("file_id", F.lit("m.eml").alias("path"), F.encode("text", "UTF-8").alias("content"))
+    return extracted(files).select("file_id", "title", "text")
+
+
+@query("SELECT file_id, table_profile.cols[1].name AS name, len(table_profile.cols) AS columns, coalesce(array_to_string(table_profile.cols[1].samples, '; '), '') AS samples FROM ext WHERE len(table_profile.cols) > 0 AND len(list_filter(table_profile.cols, lambda c: len(c.samples) > 0)) > 0")
+def extract_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each table's profile written as a delimited file and read again: first column, number of columns, samples."""
+    cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    cols = F.col("table_profile.cols")
+    header = F.array_join(F.transform(cols, lambda c: cell(c["name"])), ";")
+    rows = F.transform(F.sequence(F.lit(0), F.array_max(F.transform(cols, lambda c: F.size(c["samples"]))) - 1), lambda k: F.array_join(F.transform(cols, lambda c: cell(F.get(c["samples"], k))), ";"))
+    files = ext(spark, sf_dir).filter((F.size(cols) > 0) & F.exists(cols, lambda c: F.size(c["samples"]) > 0)).select("file_id", F.lit("t.csv").alias("path"), F.encode(F.concat(header, F.lit("\r\n"), F.array_join(rows, "\r\n")), "UTF-8").alias("content"))
+    first = F.col("table_profile.cols")[0]
+    return extracted(files).select("file_id", first["name"].alias("name"), F.size("table_profile.cols").cast("bigint").alias("columns"), F.array_join(first["samples"], "; ").alias("samples"))
