@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,10 +38,18 @@ def option_words(option: str, description: str) -> list[str]:
     return list(dict.fromkeys(re.findall("[a-z]{4,}", f"{option} {description}".lower())))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def scores(words: Column, taxonomy: Taxonomy) -> Column:
     """(id, ord, score) of each option; half a point less for the options that say none."""
-    rows = [F.struct(F.lit(o).alias("id"), F.lit(k).alias("ord"), (F.size(F.array_intersect(words, F.array(*map(F.lit, option_words(o, d))))) - (0.5 if o in ("other", "none") else 0.0)).alias("score")) for k, (o, d) in enumerate(taxonomy)]
-    return F.array(*rows)
+
+    def of(w: Column) -> Column:
+        return F.array(*(F.struct(F.lit(o).alias("id"), F.lit(k).alias("ord"), (F.size(F.array_intersect(w, F.array(*map(F.lit, option_words(o, d))))) - (0.5 if o in ("other", "none") else 0.0)).alias("score")) for k, (o, d) in enumerate(taxonomy)))
+
+    return let(words, of)
 
 
 def ranked(scored: Column) -> Column:
@@ -51,19 +59,25 @@ def ranked(scored: Column) -> Column:
 
 def answer(words: Column, taxonomy: Taxonomy) -> Column:
     """Struct: choice, confidence, runner_up and the probability of each option."""
-    r = ranked(scores(words, taxonomy))
-    total = F.aggregate(r, F.lit(0.0), lambda a, x: a + F.greatest(x["score"], F.lit(0.0)) + 1)
-    best = r[0]
-    return F.struct(
-        best["id"].alias("choice"), rounded(F.least(F.lit(0.99), 0.5 + best["score"] / 10)).alias("confidence"), F.get(r, F.lit(1))["id"].alias("runner_up"),
-        F.transform(r, lambda x: F.struct(x["id"].alias("id"), rounded((F.greatest(x["score"], F.lit(0.0)) + 1) / total).alias("p"))).alias("probabilities"),
-    )
+    share = lambda x: F.greatest(x["score"], F.lit(0.0)) + 1
+
+    def of(r: Column) -> Column:
+        best = F.get(r, F.lit(0))
+        return let(
+            F.aggregate(r, F.lit(0.0), lambda a, x: a + share(x)),
+            lambda total: F.struct(
+                best["id"].alias("choice"), rounded(F.least(F.lit(0.99), 0.5 + best["score"] / 10)).alias("confidence"), F.get(r, F.lit(1))["id"].alias("runner_up"),
+                F.transform(r, lambda x: F.struct(x["id"].alias("id"), rounded(share(x) / total).alias("p"))).alias("probabilities"),
+            ),
+        )
+
+    return let(ranked(scores(words, taxonomy)), of)
 
 
 def tag_scores(words: Column, tags: Taxonomy = TAGS, at_least: float = 0.7) -> Column:
     """The tags of which the state holds words: 0.4 for the first and 0.2 for each further one, from a bound on."""
-    own = [F.when(F.least(F.lit(1.0), 0.3 + 0.2 * F.size(F.array_intersect(words, F.array(*map(F.lit, option_words(t, d)))))) >= at_least, F.lit(t)) for t, d in tags]
-    return F.filter(F.array(*own), lambda x: x.isNotNull())
+    own = lambda w: F.array(*(F.when(F.least(F.lit(1.0), 0.3 + 0.2 * F.size(F.array_intersect(w, F.array(*map(F.lit, option_words(t, d)))))) >= at_least, F.lit(t)) for t, d in tags))
+    return F.filter(let(words, own), lambda x: x.isNotNull())
 
 
 def request(fields: dict[str, Column]) -> Column:
