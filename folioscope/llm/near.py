@@ -43,6 +43,8 @@ LEAST_WORDS, TIMES, OF = 40, 3, 5
 BUCKETS, PIECES = 1 << 20, 64
 #: Texts of a leaf of a tree; texts of a shard that one task searches; ids that are sent to every executor at most.
 LEAF, SHARD, SENT = 48, 4096, 1_000_000
+#: A member counted more often than HOT and four times the sketch's mean is split over all parts and its texts go to its shard unfiltered.
+HOT, _SPLIT = 50_000, 1 << 31
 _WORD = re.compile(r"[^\W_]+")
 #: Places of the words in _table, given out in the order in which they come.
 _index: defaultdict[str, int] = defaultdict(count().__next__)
@@ -280,6 +282,7 @@ def near_pairs(docs: DataFrame, id_col: str = "file_id", text_col: str = "text")
     else:
         skip = spark.sparkContext.broadcast(np.empty(0, np.int64))
         chosen = src.join(others, "id", "left_anti")
+    most = max(HOT, 4 * float(counts.value.mean()))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +292,9 @@ def near_pairs(docs: DataFrame, id_col: str = "file_id", text_col: str = "text")
 
         def flush() -> Iterator[pa.RecordBatch]:
             code, ids, n, place = (np.concatenate([h[k] for h in held]) for k in range(4))
-            part = (_mixed(code.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            hot = counts.value[code & (BUCKETS - 1)] > most
+            part = (_mixed(code.view(np.uint64) + np.where(hot, _mixed(ids.astype(np.uint64)), np.uint64(0))) % np.uint64(parts)).astype(np.int64)
+            place = place + np.where(hot, _SPLIT, 0)
             o = np.argsort(part, kind="stable")
             part, code, ids, n, place = part[o], code[o], ids[o], n[o], place[o]
             at = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
@@ -331,6 +336,10 @@ def near_pairs(docs: DataFrame, id_col: str = "file_id", text_col: str = "text")
             rows += [_unpacked(x, 3) for x in b.column(1).to_pylist() if x is not None]
         code, ids, packed = np.concatenate(rows, 1)
         n, place = packed >> 32, packed & 0xFFFFFFFF
+        hot = place >= _SPLIT
+        if hot.any():
+            yield _placed(ids[hot], code[hot])
+            code, ids, n, place = code[~hot], ids[~hot], n[~hot], place[~hot]
         o = np.lexsort((place, ids, n, code))
         code, ids, n, place = code[o], ids[o], n[o], place[o]
         once = np.r_[True, (code[1:] != code[:-1]) | (ids[1:] != ids[:-1])] if len(code) else np.empty(0, bool)
@@ -356,7 +365,7 @@ def near_pairs(docs: DataFrame, id_col: str = "file_id", text_col: str = "text")
                 stop = x + 1 + int(np.searchsorted(n[x + 1 : stop], OF * n[x] // TIMES, "right"))
                 kept[x + 1 : stop] |= live[x + 1 : stop]
         if kept.any():
-            yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(code[kept]), pa.nulls(int(kept.sum()), pa.int64()), pa.nulls(int(kept.sum()), pa.binary())], names=["id", "cell", "n", "print"])
+            yield _placed(ids[kept], code[kept])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(a, b): the pairs within the radius of each shard, or of two blocks of one."""
@@ -424,6 +433,10 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int
         yield now, (*(np.concatenate([h[k] for h in held]) for k in range(3)), [p for h in held for p in h[3]])
 
 
+def _placed(ids: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(cell), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary())], names=["id", "cell", "n", "print"])
+
+
 def _rows(part: np.ndarray, packed: list, ids: pa.Array, n: pa.Array, prints: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(packed, pa.binary()), ids, n, pa.array(prints, pa.binary())], names=["part", "packed", "id", "n", "print"])
 

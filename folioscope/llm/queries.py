@@ -7,15 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm.encoding import damaged_documents
+from folioscope.llm.encoding import damaged_documents, repaired
 from folioscope.llm.leaks import leaks
-from folioscope.llm.mail import new_lines
+from folioscope.llm.mail import new_lines, own_texts
 from folioscope.llm.mix import mix, shares
 from folioscope.llm.names import same_party
 from folioscope.llm.near import near_pairs
-from folioscope.llm.pii import pii_values
+from folioscope.llm.pii import pii_values, redact_pii
 from folioscope.llm.pieces import split_items
-from folioscope.llm.secrets import secret_spans
+from folioscope.llm.secrets import secret_spans, sensitivity_raised, redact_secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +27,28 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new_lines(_table(spark, sf_dir, "file_extract").filter("kind = 'email'"))
 
 
+def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each mail reduced to what its sender newly wrote."""
+    return own_texts(_table(spark, sf_dir, "file_extract").filter("kind = 'email'"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each distinct personal value of each text, as it stands there."""
     return pii_values(_table(spark, sf_dir, "file_extract"), _table(spark, sf_dir, "file_catalog").select("file_id", "pii_columns"))
 
 
+def p2_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text with typed placeholders for personal data."""
+    files = _table(spark, sf_dir, "file_extract").select("file_id", "kind", "text")
+    return redact_pii(files, _table(spark, sf_dir, "file_catalog").select("file_id", "pii_columns")).select("file_id", "redacted_text").distinct()
+
+
+def p2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text with surrogates for personal data, under a key for tests."""
+    files = _table(spark, sf_dir, "file_extract").select("file_id", "kind", "text")
+    return redact_pii(files, _table(spark, sf_dir, "file_catalog").select("file_id", "pii_columns"), key=b"a key for tests").select("file_id", "redacted_text").distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pair of spellings of one counterparty."""
     return same_party(_table(spark, sf_dir, "file_catalog").select("counterparty"))
@@ -47,6 +64,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of("file_extract", "file_id", "text").unionByName(of("request_state", "request_id", "content")).distinct()
 
 
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of each extract, in their order."""
+    return split_items(_table(spark, sf_dir, "file_extract").select("file_id", "text").distinct(), "file_id", "text")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pair of files with nearly the same text."""
     return near_pairs(_table(spark, sf_dir, "file_extract"))
@@ -58,6 +80,18 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_spans(files).select("file_id", "line_no").distinct()
 
 
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each code file and note with its credentials blanked out."""
+    files = _table(spark, sf_dir, "file_extract").filter(F.col("kind").isin("code", "text")).select("file_id", "text")
+    return redact_secrets(files).select("file_id", "redacted_text").distinct()
+
+
+def p6_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file that holds a live credential and is catalogued below restricted."""
+    files = _table(spark, sf_dir, "file_extract").filter(F.col("kind").isin("code", "text"))
+    return sensitivity_raised(_table(spark, sf_dir, "file_catalog"), secret_spans(files))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document and held-out item that share a stretch of words."""
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
@@ -78,6 +112,11 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return damaged_documents(_table(spark, sf_dir, "documents"))
 
 
+def p9_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each damaged document's text as far as it can be restored."""
+    return repaired(_table(spark, sf_dir, "documents")).filter("damage != 'none'").select("doc_id", "damage", "repaired_text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit()}
 

@@ -330,3 +330,9 @@ def redacted(text: Column) -> Column:
 def redact_secrets(df: DataFrame, text_col: str = "text", out_col: str = "redacted_text") -> DataFrame:
     """All rows and columns of df plus the text with each credential blanked out."""
     return df.withColumn(out_col, redacted(F.col(text_col)))
+
+
+def sensitivity_raised(catalog: DataFrame, spans: DataFrame, id_col: str = "file_id") -> DataFrame:
+    """Distinct (id, sensitivity, raised_to) of the catalogue's rows below restricted whose file holds a credential; a missing level counts as below."""
+    below = catalog.filter(~F.coalesce(F.col("sensitivity") == "restricted", F.lit(False))).select(id_col, "sensitivity")
+    return below.join(spans.select(id_col).distinct(), id_col, "left_semi").select(id_col, "sensitivity", F.lit("restricted").alias("raised_to")).distinct()

@@ -52,6 +52,9 @@ def test_as_many_pairs_as_by_comparing_all(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(near, "SHARD", 3)
     monkeypatch.setattr(near, "SENT", 0)
     assert run(spark, tmp_path, rows, "blocks") == want
+    # members that are split over all parts
+    monkeypatch.setattr(near, "HOT", 1)
+    assert run(spark, tmp_path, rows, "hot") == want
 
 
 def test_empty(spark, tmp_path):
