@@ -77,7 +77,7 @@ def _business(word: str, dotted: bool) -> str | None:
             if w.startswith(head) and (not tail or w.endswith(tail)) and len(w) > len(bare):
                 return w
     if len(word) >= 3 and not dotted:
-        found = [w for w in BUSINESS if w.startswith(word) and len(word) <= 6 and len(w) > len(word) + 1]
+        found = [w for w in BUSINESS if w.startswith(word) and len(w) > len(word) + 1]
         if found and word in ("dist", "eng", "log", "sup", "sped", "tech", "text", "verp", "transp", "distrib", "gebr", "mat", "sum", "assoc", "handelsges"):
             return found[0]
     if "ue" in word or "ae" in word or "oe" in word:
