@@ -13,8 +13,11 @@ their first (1 - TIMES / OF) * n + 1 members, at places that leave room enough f
 is a shard, and a text lies in the shard of each of its first members that it shares with a
 text it could be similar to.  In a shard the texts form a vantage-point tree: by the distance to a
 vantage point the rest is split at the median, and a query with radius r visits a branch only if
-the triangle inequality allows a hit.  A shard with more than SHARD texts is cut into blocks, and
-every pair of blocks is searched by a task of its own.  Pairs within the radius are compared in full.
+the triangle inequality allows a hit; all texts of a block are looked up together.  In a leaf only
+those pairs are measured whose places leave room enough, as the first common member of similar texts
+does: a shard grows with the collection, so its pairs must cost next to nothing.  A shard with more
+than SHARD texts is cut into blocks, and every pair of blocks is searched by a task of its own.  Pairs
+within the radius are compared in full.
 
 Defined cases: null, empty and short texts (under LEAST_WORDS words) are in no pair; rows repeated
 under one id count once; extra columns are ignored.
@@ -39,8 +42,8 @@ from folioscope.operators.graph import cut
 
 #: Least words of a text; least share of common sequences, as a fraction.
 LEAST_WORDS, TIMES, OF = 40, 3, 5
-#: Buckets of the sketch of counts, whatever the size of the collection, and its pieces.
-BUCKETS, PIECES = 1 << 20, 64
+#: Buckets of the sketch of counts, whatever the size of the collection, and its pieces; steps of a rank, which is a count's logarithm, to a doubling.
+BUCKETS, PIECES, STEPS = 1 << 24, 64, 8
 #: Texts of a leaf of a tree; texts of a shard that one task searches; ids that are sent to every executor at most.
 LEAF, SHARD, SENT = 48, 4096, 1_000_000
 #: A member counted more often than HOT and four times the sketch's mean is split over all parts and its texts go to its shard unfiltered.
@@ -148,54 +151,58 @@ class Tree:
         self.near_least, self.far_most = int(d[near].min()), int(d[~near].max())
         self.inner, self.outer = Tree(prints, rows[near]), Tree(prints, rows[~near])
 
-    def query(self, fp: np.ndarray, r: int) -> list[np.ndarray]:
-        """Rows that lie within the distance r of a fingerprint, leaf by leaf."""
+    def query(self, fps: np.ndarray, r: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows of a leaf, those of the fingerprints ``at`` that may have rows there within their distances r), leaf by leaf."""
         if self.inner is None:
-            d = np.bitwise_count(self.prints[self.rows] ^ fp).sum(1)
-            return [self.rows[d <= r]]
-        d = int(np.bitwise_count(self.prints[self.vantage] ^ fp).sum())
-        out = []
-        if self.near_least - r <= d <= self.near_most + r:
-            out += self.inner.query(fp, r)
-        if self.far_least - r <= d <= self.far_most + r:
-            out += self.outer.query(fp, r)
-        return out
+            yield self.rows, at
+            return
+        d, far = np.bitwise_count(self.prints[self.vantage] ^ fps[at]).sum(1).astype(np.int64), r[at]
+        for branch, least, most in ((self.inner, self.near_least, self.near_most), (self.outer, self.far_least, self.far_most)):
+            if (some := at[(least - far <= d) & (d <= most + far)]).size:
+                yield from branch.query(fps, r, some)
+
 
+def _partner(n: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Members at most of a set that is similar to one of n members whose first common member leaves it ``rest`` of them."""
+    return (TIMES + OF) * rest // TIMES - n
 
-def shard_pairs(ids: np.ndarray, n: np.ndarray, prints: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> set[tuple[int, int]]:
-    """Pairs (least id first) within the radius of one shard: each text of block b is looked up among those of block a.
 
-    a, b: places of the texts of two blocks, the same places for a block with itself.
+def shard_pairs(ids: np.ndarray, n: np.ndarray, prints: list[np.ndarray], a: np.ndarray, b: np.ndarray, rest: np.ndarray | None = None) -> set[tuple[int, int]]:
+    """Pairs (least id first) within the radius of one shard: the texts of block b are looked up among those of block a.
+
+    a, b: places of the texts of two blocks, the same places for a block with itself.  rest: members of
+    each text from the shard's member on; without it only the sizes tell which pairs are measured.
     """
     out: set[tuple[int, int]] = set()
     words = np.array([len(p) for p in prints])
+    size, most = n.astype(np.int32), _partner(n, n if rest is None else rest).astype(np.int32)
     for w in np.unique(words[a]).tolist():
         own = a[words[a] == w]
         matrix = np.stack([prints[k] for k in own])
         tree = Tree(matrix, np.arange(len(own)))
-        most = int(n[own].max())
-        for q in b.tolist():
-            size = int(n[q])
-            # the widths of similar texts differ by at most one step; the wider one is folded
-            if words[q] == 2 * w:
-                fp, t = _folded(prints[q], w), tree
-            elif words[q] == w:
-                fp, t = prints[q], tree
-            else:
+        # the widths of similar texts differ by at most one step; the wider one is folded
+        for width_of in (w, 2 * w):
+            asked = b[words[b] == width_of]
+            if not len(asked):
                 continue
-            for hit in t.query(fp, int(radius(np.int64(size), np.int64(most)))):
-                for k in own[hit].tolist():
-                    m = int(n[k])
-                    # of two texts of one width and block each is looked up once
-                    if ids[k] != ids[q] and OF * min(m, size) >= TIMES * max(m, size) and int(np.bitwise_count(_folded(prints[k], w) ^ fp).sum()) <= (size + m) * (OF - TIMES) // (OF + TIMES):
-                        x, y = int(ids[k]), int(ids[q])
-                        out.add((min(x, y), max(x, y)))
+            fps = _folded(np.stack([prints[k] for k in asked]), w)
+            for rows, at in tree.query(fps, radius(n[asked], n[own].max()), np.arange(len(asked))):
+                x, y = own[rows], asked[at]
+                own_size, room = size[x], most[x]
+                some = (most[y] >= own_size.min()) & (size[y] <= room.max())
+                at, y = at[some], y[some]
+                i, j = np.nonzero((own_size[:, None] <= most[y]) & (size[y] <= room[:, None]))
+                d = np.bitwise_count(matrix[rows[i]] ^ fps[at[j]]).sum(1)
+                good = (d <= radius(n[x[i]], n[y[j]])) & (ids[x[i]] != ids[y[j]])
+                p, q = ids[x[i[good]]], ids[y[j[good]]]
+                out.update(zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist()))
     return out
 
 
-def leaf_pairs(cell: np.ndarray, ids: np.ndarray, n: np.ndarray, prints: list[bytes]) -> set[tuple[int, int]]:
-    """Pairs within the radius of many shards that are no larger than a leaf, at once."""
+def leaf_pairs(cell: np.ndarray, ids: np.ndarray, n: np.ndarray, prints: list[bytes], rest: np.ndarray | None = None) -> set[tuple[int, int]]:
+    """Pairs within the radius of many shards that are no larger than a leaf, at once; rest as in :func:`shard_pairs`."""
     o = np.lexsort((n, cell))
+    most = _partner(n, n if rest is None else rest)[o]
     cell, ids, n = cell[o], ids[o], n[o]
     words = np.array([len(prints[k]) // 8 for k in o.tolist()], np.int64)
     slot = np.zeros(len(o), np.int64)
@@ -209,10 +216,11 @@ def leaf_pairs(cell: np.ndarray, ids: np.ndarray, n: np.ndarray, prints: list[by
     left, k = np.arange(len(o)), 1
     while len(left):
         left = left[left + k < len(o)]
-        left = left[(cell[left] == cell[left + k]) & (OF * n[left] >= TIMES * n[left + k])]
+        left = left[(cell[left] == cell[left + k]) & (most[left] >= n[left + k])]
+        fit = left[most[left + k] >= n[left]]
         for w in rows:
             for other, table in ((w, rows[w]), (2 * w, narrow.get(2 * w))):
-                x = left[(words[left] == w) & (words[left + k] == other)]
+                x = fit[(words[fit] == w) & (words[fit + k] == other)]
                 if len(x):
                     d = np.bitwise_count(rows[w][slot[x]] ^ table[slot[x + k]]).sum(1)
                     x = x[d <= radius(n[x], n[x + k])]
@@ -226,29 +234,74 @@ def _least(n: np.ndarray, times: int, of: int) -> np.ndarray:
     return -(-n * times // of)
 
 
+def _most(v: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The largest of v[begin:end] for each stretch, -1 for an empty one."""
+    out = np.full(len(begin), -1, np.int64)
+    length = end - begin
+    level = np.where(length > 0, np.frexp(length.astype(np.float64))[1] - 1, -1)
+    for k in range(int(level.max(initial=-1)) + 1):
+        at = np.flatnonzero(level == k)
+        out[at] = np.maximum(v[begin[at]], v[end[at] - (1 << k)])
+        v = np.maximum(v[: -(1 << k)], v[1 << k :])
+    return out
+
+
+def partnered(code: np.ndarray, n: np.ndarray, rest: np.ndarray) -> np.ndarray:
+    """Which texts of each shard have a partner there by both sizes and both places; rows sorted by code and n, a text once in a shard."""
+    out = np.zeros(len(code), bool)
+    new = np.r_[True, code[1:] != code[:-1]] if len(code) else np.empty(0, bool)
+    at = np.flatnonzero(~(new & np.r_[new[1:], True])) if len(code) else np.empty(0, np.int64)
+    shard, n, rest = np.cumsum(new)[at] << 32, n[at], rest[at]
+    key, most, own = shard + n, _partner(n, rest), np.arange(len(at))
+    # the larger ones that it leaves room for, of which one must leave room for it; then the smaller ones
+    larger = _most(most, own + 1, np.searchsorted(key, shard + np.maximum(most, 0), "right"))
+    least = np.searchsorted(key, shard + _least(n, TIMES, OF), "left")
+    smaller = _most(most, least, np.minimum(own, np.searchsorted(key, shard + np.maximum(most, 0), "right")))
+    out[at] = (larger >= n) | (smaller >= n)
+    return out
+
+
+def _counted(codes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Rows (piece, counts): the buckets that occur, as steps, and how often."""
+    bucket = np.sort(np.concatenate(codes))
+    at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    bucket, times = bucket[at].astype(np.int64), np.diff(np.r_[at, len(bucket)])
+    ends = np.searchsorted(bucket, np.arange(PIECES + 1) * (BUCKETS // PIECES))
+    parts = [_packed(np.diff(bucket[s:e], prepend=k * (BUCKETS // PIECES)), times[s:e]) for k, (s, e) in enumerate(zip(ends[:-1], ends[1:]))]
+    yield pa.RecordBatch.from_arrays([pa.nulls(PIECES, pa.int64()), pa.array(parts, pa.binary()), pa.array(range(PIECES), pa.int32())], names=["id", "key", "piece"])
+
+
 def _scan_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, key) for the texts, and rows (piece, counts) for the sketch of this task."""
-    counts = np.zeros(BUCKETS, np.int64)
+    """Rows (id, key) for the texts, and rows (piece, counts) for the sketch."""
+    held: list[np.ndarray] = []
     kind = pa.int64()
     for b in batches:
         doc, code = sets(b.column(1).to_pylist())
-        counts += np.bincount(code & (BUCKETS - 1), minlength=BUCKETS)
+        held.append((code & (BUCKETS - 1)).astype(np.int32))
         docs, at, n = _sizes(doc)
         ids = b.column(0).to_numpy(zero_copy_only=False)[docs] if len(docs) else np.empty(0, np.int64)
         keys = [hashlib.blake2b(code[s : s + k].tobytes(), digest_size=16).digest() for s, k in zip(at.tolist(), n.tolist())]
         yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(keys, pa.binary()), pa.nulls(len(ids), pa.int32())], names=["id", "key", "piece"])
-    each = BUCKETS // PIECES
-    parts = [zlib.compress(counts[k * each : (k + 1) * each].astype(np.int64).tobytes(), 1) for k in range(PIECES)]
-    yield pa.RecordBatch.from_arrays([pa.nulls(PIECES, kind), pa.array(parts, pa.binary()), pa.array(range(PIECES), pa.int32())], names=["id", "key", "piece"])
+        if sum(map(len, held)) > 4_000_000:
+            yield from _counted(held)
+            held = []
+    if sum(map(len, held)):
+        yield from _counted(held)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(piece, ranks) of the whole collection."""
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            v = np.frombuffer(zlib.decompress(x), np.int64)
-            sums[k] = sums[k] + v if k in sums else v
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(np.minimum(v, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1) for v in sums.values()], pa.binary())], names=["piece", "key"])
+            steps, times = _unpacked(x, 2)
+            v = sums.setdefault(k, np.zeros(BUCKETS // PIECES, np.int64))
+            v[np.cumsum(steps)] += times
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(_rank(v).tobytes(), 1) for v in sums.values()], pa.binary())], names=["piece", "key"])
+
+
+def _rank(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.ceil(STEPS * np.log2(np.maximum(counts, 1))), 255).astype(np.uint8)
 
 
 def _packed(*columns: np.ndarray) -> bytes:
@@ -267,8 +320,8 @@ def near_pairs(docs: DataFrame, id_col: str = "file_id", text_col: str = "text")
     src = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).filter(F.col(id_col).isNotNull() & (F.length(text_col) >= 2 * LEAST_WORDS - 1))
     first = cut(src.mapInArrow(_scan_sets, "id bigint, key binary, piece int"))
     sketch = first.filter("piece is not null").select("piece", "key").repartition("piece").mapInArrow(_summed, "piece int, key binary").collect()
-    order = {r["piece"]: np.frombuffer(zlib.decompress(r["key"]), np.uint32) for r in sketch}
-    counts = spark.sparkContext.broadcast(np.concatenate([order.get(k, np.zeros(BUCKETS // PIECES, np.uint32)) for k in range(PIECES)]))
+    order = {r["piece"]: np.frombuffer(zlib.decompress(r["key"]), np.uint8) for r in sketch}
+    ranks = spark.sparkContext.broadcast(np.concatenate([order.get(k, np.zeros(BUCKETS // PIECES, np.uint8)) for k in range(PIECES)]))
 
     members = first.filter("piece is null").groupBy("key", "id").agg(F.lit(1)).select("key", "id")
     least = members.groupBy("key").agg(F.min("id").alias("class"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -282,7 +335,8 @@ def near_pairs(docs: DataFrame, id_col: str = "file_id", text_col: str = "text")
     else:
         skip = spark.sparkContext.broadcast(np.empty(0, np.int64))
         chosen = src.join(others, "id", "left_anti")
-    most = max(HOT, 4 * float(counts.value.mean()))
+    mean = float(np.bincount(ranks.value, minlength=256) @ (2 ** (np.arange(256) / STEPS))) / BUCKETS
+    most = STEPS * np.log2(max(HOT, 4 * mean))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,7 +346,7 @@ def near_pairs(docs: DataFrame, id_col: str = "file_id", text_col: str = "text")
 
         def flush() -> Iterator[pa.RecordBatch]:
             code, ids, n, place = (np.concatenate([h[k] for h in held]) for k in range(4))
-            hot = counts.value[code & (BUCKETS - 1)] > most
+            hot = ranks.value[code & (BUCKETS - 1)] > most
             part = (_mixed(code.view(np.uint64) + np.where(hot, _mixed(ids.astype(np.uint64)), np.uint64(0))) % np.uint64(parts)).astype(np.int64)
             place = place + np.where(hot, _SPLIT, 0)
             o = np.argsort(part, kind="stable")
@@ -312,7 +366,7 @@ def near_pairs(docs: DataFrame, id_col: str = "file_id", text_col: str = "text")
                 continue
             each, at, n = _sizes(doc)
             yield _rows((_mixed(ids[each].astype(np.uint64)) % np.uint64(parts)).astype(np.int64), [None] * len(each), pa.array(ids[each]), pa.array(n), [x.tobytes() for x in fingerprints(doc, code)])
-            rare = np.argsort((doc << 32) | counts.value[code & (BUCKETS - 1)], kind="stable")
+            rare = np.argsort((doc << 8) | ranks.value[code & (BUCKETS - 1)], kind="stable")
             code = code[rare]
             place = np.arange(len(doc)) - np.repeat(at, n)
             size_of = np.repeat(n, n)
@@ -326,7 +380,7 @@ def near_pairs(docs: DataFrame, id_col: str = "file_id", text_col: str = "text")
             yield from flush()
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(id, cell, n, print): a text's shards (cell) and, passed through, its fingerprint."""
+        """(id, cell, n, print): a text's shards (cell) with its members from the shard's on (n) and, passed through, its fingerprint."""
         rows = [np.empty((3, 0), np.int64)]
         for b in batches:
             keep = b.column(2).is_valid()
@@ -337,35 +391,17 @@ def near_pairs(docs: DataFrame, id_col: str = "file_id", text_col: str = "text")
         code, ids, packed = np.concatenate(rows, 1)
         n, place = packed >> 32, packed & 0xFFFFFFFF
         hot = place >= _SPLIT
-        if hot.any():
-            yield _placed(ids[hot], code[hot])
-            code, ids, n, place = code[~hot], ids[~hot], n[~hot], place[~hot]
+        place = place - np.where(hot, _SPLIT, 0)
         o = np.lexsort((place, ids, n, code))
-        code, ids, n, place = code[o], ids[o], n[o], place[o]
+        code, ids, n, place, hot = code[o], ids[o], n[o], place[o], hot[o]
         once = np.r_[True, (code[1:] != code[:-1]) | (ids[1:] != ids[:-1])] if len(code) else np.empty(0, bool)
-        code, ids, n, place = code[once], ids[once], n[once], place[once]
-        # Texts of a shard that have a possible partner there.  By size: the partners of a text lie in one stretch of the
-        # shard.  By place: with a partner of m members the rest must hold 3/8 (n + m) of both; it is enough to try the least m.
-        rest = n - place
-        kept = np.zeros(len(code), bool)
-        k, left = 1, np.arange(len(code))
-        live = 8 * rest >= TIMES * (n + _least(n, TIMES, OF))  # with its smallest partner
-        while len(left) and k <= 64:
-            left = left[left + k < len(code)]
-            left = left[(code[left] == code[left + k]) & (OF * n[left] >= TIMES * n[left + k])] if len(left) else left
-            x, y = left, left + k
-            ok = np.minimum(rest[x], rest[y]) >= _least(n[x] + n[y], TIMES, TIMES + OF)
-            kept[x[ok]] = True
-            kept[y[ok]] = True
-            k += 1
-        if len(left):  # long stretches: the texts that still have partners further on stay, if they may have one at all
-            kept[left[live[left]]] = True
-            for x in left.tolist():
-                stop = int(np.searchsorted(code, code[x], "right"))
-                stop = x + 1 + int(np.searchsorted(n[x + 1 : stop], OF * n[x] // TIMES, "right"))
-                kept[x + 1 : stop] |= live[x + 1 : stop]
+        code, ids, rest, n, hot = code[once], ids[once], (n - place)[once], n[once], hot[once]
+        if hot.any():
+            yield _placed(ids[hot], code[hot], rest[hot])
+            code, ids, rest, n = code[~hot], ids[~hot], rest[~hot], n[~hot]
+        kept = partnered(code, n, rest)
         if kept.any():
-            yield _placed(ids[kept], code[kept])
+            yield _placed(ids[kept], code[kept], rest[kept])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(a, b): the pairs within the radius of each shard, or of two blocks of one."""
@@ -373,16 +409,16 @@ def near_pairs(docs: DataFrame, id_col: str = "file_id", text_col: str = "text")
         held = 0
 
         def leaves() -> pa.RecordBatch:
-            cell, ids, n = (np.concatenate([r[k] for r in small]) for k in range(3))
-            return _pairs(leaf_pairs(cell, ids, n, [p for r in small for p in r[3]]))
+            cell, ids, n, rest = (np.concatenate([r[k] for r in small]) for k in range(4))
+            return _pairs(leaf_pairs(cell, ids, n, [p for r in small for p in r[4]], rest))
 
-        for key, (ids, n, block, prints) in _grouped(batches):
+        for key, (ids, n, rest, block, prints) in _grouped(batches):
             ids, first = np.unique(ids, return_index=True)
-            n, block, prints = n[first], block[first], [prints[k] for k in first.tolist()]
+            n, rest, block, prints = n[first], rest[first], block[first], [prints[k] for k in first.tolist()]
             if len(ids) < 2:
                 continue
             if len(ids) <= LEAF and key[1] == key[2]:
-                small.append((np.full(len(ids), held), ids, n, prints))
+                small.append((np.full(len(ids), held), ids, n, rest, prints))
                 held += len(ids)
                 if held > 40_000:
                     yield leaves()
@@ -390,10 +426,10 @@ def near_pairs(docs: DataFrame, id_col: str = "file_id", text_col: str = "text")
                 continue
             rows = [np.frombuffer(x, np.uint64) for x in prints]
             if key[1] == key[2]:
-                yield _pairs(shard_pairs(ids, n, rows, np.arange(len(ids)), np.arange(len(ids))))
+                yield _pairs(shard_pairs(ids, n, rows, np.arange(len(ids)), np.arange(len(ids)), rest))
             else:
                 a, b = np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2])
-                yield _pairs(shard_pairs(ids, n, rows, a, b) | shard_pairs(ids, n, rows, b, a))
+                yield _pairs(shard_pairs(ids, n, rows, a, b, rest) | shard_pairs(ids, n, rows, b, a, rest))
         if small:
             yield leaves()
 
@@ -401,40 +437,40 @@ def near_pairs(docs: DataFrame, id_col: str = "file_id", text_col: str = "text")
     spread = chosen.mapInArrow(prefixes, wide).repartition(parts, "part")
     told = cut(spread.mapInArrow(candidates, "id bigint, cell bigint, n bigint, print binary"))
     prints = told.filter("print is not null").select("id", "n", "print").dropDuplicates(["id"])
-    shards = told.filter("print is null").select("id", "cell").distinct()
+    shards = told.filter("print is null").select("id", "cell", F.col("n").alias("rest"))  # each once, as all rows of a text and member come to one task
     # a large shard is cut into blocks; each text goes to the task of each pair of blocks that has its own
     large = shards.groupBy("cell").count().filter(F.col("count") > SHARD).select("cell", F.ceil(F.col("count") / SHARD).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")
     placed = shards.join(large, "cell", "left").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-    tasks = placed.select("id", "cell", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")
-    rows = tasks.join(prints, "id").select("cell", "x", "y", "block", "id", "n", "print").repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y")
+    tasks = placed.select("id", "cell", "rest", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block")
+    rows = tasks.join(prints, "id").select("cell", "x", "y", "block", "id", "n", "rest", "print").repartition("cell", "x", "y").sortWithinPartitions("cell", "x", "y")
     near = cut(rows.mapInArrow(search, "a bigint, b bigint").distinct())
     return _all_pairs(_compared(near, src), copies)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], tuple]]:
-    """((cell, x, y), (ids, n, block, prints)) of rows sorted by their key, whole groups across batches."""
+    """((cell, x, y), (ids, n, rest, block, prints)) of rows sorted by their key, whole groups across batches."""
     held: list[tuple] = []
     now = None
     for b in batches:
         if not b.num_rows:
             continue
-        cell, x, y, block, ids, n = (b.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-        prints = b.column(6).to_pylist()
+        cell, x, y, block, ids, n, rest = (b.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+        prints = b.column(7).to_pylist()
         cuts = np.flatnonzero(np.r_[True, (cell[1:] != cell[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
         for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(cell)]):
             key = (int(cell[s]), int(x[s]), int(y[s]))
             if key != now:
                 if held:
-                    yield now, (*(np.concatenate([h[k] for h in held]) for k in range(3)), [p for h in held for p in h[3]])
+                    yield now, (*(np.concatenate([h[k] for h in held]) for k in range(4)), [p for h in held for p in h[4]])
                 held, now = [], key
-            held.append((ids[s:e], n[s:e], block[s:e], prints[s:e]))
+            held.append((ids[s:e], n[s:e], rest[s:e], block[s:e], prints[s:e]))
     if held:
-        yield now, (*(np.concatenate([h[k] for h in held]) for k in range(3)), [p for h in held for p in h[3]])
+        yield now, (*(np.concatenate([h[k] for h in held]) for k in range(4)), [p for h in held for p in h[4]])
 
 
-def _placed(ids: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(cell), pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary())], names=["id", "cell", "n", "print"])
+def _placed(ids: np.ndarray, cell: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(cell), pa.array(rest), pa.nulls(len(ids), pa.binary())], names=["id", "cell", "n", "print"])
 
 
 def _rows(part: np.ndarray, packed: list, ids: pa.Array, n: pa.Array, prints: list) -> pa.RecordBatch:

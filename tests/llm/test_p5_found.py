@@ -84,3 +84,38 @@ def test_the_fingerprints_distance_is_at_most_the_difference():
             d = int(np.bitwise_count(near._folded(prints[a], w) ^ near._folded(prints[b], w)).sum())
             assert d <= len(set(code[doc == ids[a]]) ^ set(code[doc == ids[b]]))
     assert radius(np.int64(100), np.int64(60)) == 40
+
+
+def test_which_texts_of_a_shard_have_a_partner_there():
+    rnd = np.random.default_rng(4)
+    code, n = rnd.integers(0, 60, 4000), rnd.integers(38, 90, 4000)
+    rest = n - rnd.integers(0, 36, 4000)
+    o = np.lexsort((rest, n, code))
+    code, n, rest = code[o], n[o], rest[o]
+    fits = (code[:, None] == code) & (8 * np.minimum(rest[:, None], rest) >= 3 * (n[:, None] + n)) & ~np.eye(4000, dtype=bool)
+    want = fits.any(1)
+    assert want.any() and not want.all()
+    assert near.partnered(code, n, rest).tolist() == want.tolist()
+
+
+def shard(seed, size):
+    """A shard as set phrases make it in a large collection: its texts share much, though few are similar."""
+    rnd = random.Random(seed)
+    phrases = [" ".join(f"p{k}x{j}" for j in range(8)) for k in range(60)]
+    doc, code = sets([" ".join(x) for x in (rnd.sample(phrases, 12) for _ in range(size))])
+    ids, n = np.unique(doc, return_counts=True)
+    return doc, code, ids, n, fingerprints(doc, code)
+
+
+def test_texts_of_a_shard_are_looked_up_together(monkeypatch):
+    asked, query = [0], near.Tree.query
+
+    def counted(self, *args):
+        asked[0] += 1
+        return query(self, *args)
+
+    monkeypatch.setattr(near.Tree, "query", counted)
+    doc, code, ids, n, prints = shard(1, 1500)
+    everything = np.arange(len(ids))
+    shard_pairs(ids, n, prints, everything, everything)
+    assert 0 < asked[0] < len(ids)  # not at least once for each text
