@@ -24,7 +24,8 @@ import hmac
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -300,12 +301,13 @@ def _numbers(text: str, wrapped: bool) -> Iterator[tuple[int, int, str]]:
             at = low.find(part, at + len(part))
 
 
-def find(text: str | None, kind: str | None = None, announced: dict[str, str] | None = None, given: frozenset[str] | None = None) -> list[tuple[int, int, str, str | None, str | None]]:
+def find(text: str | None, kind: str | None = None, announced: dict[str, str] | None = None, given: Container[str] = frozenset(_STATIC)) -> list[tuple[int, int, str, str | None, str | None]]:
     """(start, end, type, given, family): all findings of one text, overlaps between types settled.
 
     Names are candidates: ``given`` and ``family`` are the words to look up, ``given`` is "" for initials;
     both are None for the other types and for names that a column vouches for.  announced: type by
     column name, as the catalogue has it; it only counts where the cells do not speak against it.
+    given: the given names, of which only those that stand in the text matter.
     """
     text = text or ""
     table = kind in ("table", "spreadsheet")
@@ -328,8 +330,7 @@ def find(text: str | None, kind: str | None = None, announced: dict[str, str] |
                 found += [(s, s + len(v), "identity", None, None) for s, v in weak]
             if _PHONE_COLUMN.match(name) or said == "phone":
                 found += [(s, s + len(v), "phone", None, None) for s, v in full if re.fullmatch(r"[+(]?\d[\d ().\-/]{7,18}\d", v) and 9 <= _digits(v) <= 15]
-            bearers = _STATIC if given is None else given
-            if _NAME_COLUMN.match(name) or (said == "person_name" and sum(any(w.lower() in bearers for w in _WORDS.findall(v)) for _, v in full) >= 0.3 * len(full)):
+            if _NAME_COLUMN.match(name) or (said == "person_name" and sum(any(w.lower() in given for w in _WORDS.findall(v)) for _, v in full) >= 0.3 * len(full)):
                 for s, v in full:
                     x = re.match(r"(?:(?:mr|mrs|ms|miss|dr|prof|herr|frau|mme|mlle|sr|sra|srta|dña|doña|don)\.?\s+|[MD]\.\s+(?=[A-ZÀ-Þ][\w’'\-]+\s+\S))?", v, re.I).end()
                     w = v[x:].strip()
@@ -361,17 +362,8 @@ def find(text: str | None, kind: str | None = None, announced: dict[str, str] |
     return out
 
 
-def _name_matches(text: str, given: frozenset[str] | None) -> Iterator[tuple[int, re.Match]]:
-    """(number of the pattern, match) of all that can be a name; where the given names are known, only around them and around initials."""
-    if given is None:
-        for n, rx in enumerate(_NAMES):
-            pos = 0
-            while m := rx.search(text, pos):
-                yield n, m
-                pos = m.start() + 1
-                while pos < len(text) and text[pos].isalpha():
-                    pos += 1
-        return
+def _name_matches(text: str, given: Container[str]) -> Iterator[tuple[int, re.Match]]:
+    """(number of the pattern, match) of all that can be a name, around given names and around initials."""
     for w in _CAPITAL.finditer(text):
         v = w[0]
         if len(v) == 1:
@@ -392,6 +384,23 @@ def _name_matches(text: str, given: frozenset[str] | None) -> Iterator[tuple[int
                 yield 6, m
 
 
+class _Every:
+    """All words."""
+
+    def __contains__(self, word: str) -> bool:
+        return True
+
+
+def looked_up(text: str, kind: str | None) -> set[str]:
+    """All words of a text that :func:`find` and :func:`_bears` can look up, whatever the lexicon holds."""
+    out = {w[0].lower() for w in _CAPITAL.finditer(text)}
+    for _, m in _name_matches(text, _Every()):
+        out |= {(m.groupdict().get("g") or "").lower(), _family(re.split(r"[\s>]+", m["f"])[-1])}
+    if kind in ("table", "spreadsheet"):
+        out.update(w.lower() for _, cells in _columns(text) for _, v in cells for w in _WORDS.findall(v))
+    return out
+
+
 def _comma_before(text: str, at: int) -> int | None:
     """Where the family name before a comma before this place begins."""
     m = _COMMA_BEFORE.search(text, max(0, at - 70), at)
@@ -445,7 +454,7 @@ def lexicon(df: DataFrame, kind_col: str = "kind", text_col: str = "text") -> Da
     return fixed.unionByName(counted.join(F.broadcast(fixed.select("word")), "word", "left_anti"))
 
 
-#: A lexicon of at most so many words is sent to every executor; a larger one is joined by shuffling.
+#: A lexicon of at most so many words is sent to every executor; of a larger one each text gets the words that stand in it.
 BROADCAST_WORDS = 300_000
 
 
@@ -466,40 +475,50 @@ def pii_spans(df: DataFrame, announced: DataFrame | None = None, id_col: str = "
     small = len(first) <= BROADCAST_WORDS
     known = df.sparkSession.sparkContext.broadcast({r: frozenset(x["word"] for x in first if x["role"] == r) if small else None for r in "gf"})
     kind_of = src.schema["id"].dataType.simpleString()
-    names = ["id", "start", "end", "pii_type", "pii_value", "given", "family"]
-    schema = f"id {kind_of}, start int, end int, pii_type string, pii_value string, given string, family string"
+    names = ["id", "start", "end", "pii_type", "pii_value"]
+    schema = f"id {kind_of}, start int, end int, pii_type string, pii_value string"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given, families = known.value["g"], known.value["f"]
         for b in batches:
             rows = []
-            told = b.column(3).to_pylist() if b.num_columns > 3 else [None] * b.num_rows
-            for i, k, t, cols in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), told):
+            column = dict(zip(b.schema.names, b.columns))
+            told, own_given, own_families = (column[c].to_pylist() if c in column else [None] * b.num_rows for c in ("pii_columns", "given", "families"))
+            for i, k, t, cols, g_own, f_own in zip(column["id"].to_pylist(), column["kind"].to_pylist(), column["text"].to_pylist(), told, own_given, own_families):
+                if not small:
+                    given, families = frozenset(g_own or ()), frozenset(f_own or ())
                 for s, e, y, g, f in find(t, k, {c["name"]: c["data"] for c in cols or [] if c}, given):
-                    if f is None or given is None or _bears(g, f, given.__contains__, families.__contains__):
-                        rows.append((i, s, e, y, t[s:e], g, f))
-            types = (b.schema.field(0).type, pa.int32(), pa.int32(), *[pa.string()] * 4)
+                    if f is None or _bears(g, f, given.__contains__, families.__contains__):
+                        rows.append((i, s, e, y, t[s:e]))
+            types = (column["id"].type, pa.int32(), pa.int32(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     if announced is None:
-        rows = src.mapInArrow(scan, schema)
+        parts = [src]
     else:
         tables = F.coalesce(F.col("kind").isin("table", "spreadsheet"), F.lit(False))
         told = announced.toDF("id", "pii_columns").filter("size(pii_columns) > 0").groupBy("id").agg(F.max_by("pii_columns", F.size("pii_columns")).alias("pii_columns"))
-        rows = src.filter(~tables).mapInArrow(scan, schema).unionByName(src.filter(tables).join(told, "id", "left").select("id", "kind", "text", "pii_columns").mapInArrow(scan, schema))
-    keep = ["id", "start", "end", "pii_type", "pii_value"]
-    if small:
-        return rows.select(keep).withColumnRenamed("id", id_col)
-    given = words.filter("role = 'g'").select(F.col("word").alias("given_word"), F.lit(True).alias("is_given"))
-    family = words.filter("role = 'f'").select(F.col("word").alias("family_word"), F.lit(True).alias("is_family"))
-    named = (
-        rows.filter("family is not null")
-        .join(given, F.regexp_replace("given", "\t", "") == F.col("given_word"), "left")
-        .join(family, F.col("family") == F.col("family_word"), "left")
-        .filter(F.when((F.col("given") == "") | F.col("given").endswith("\t"), F.col("is_family") & ((F.col("given") == "") | F.col("is_given"))).otherwise(F.col("is_given")))
-        .join(words.filter("role = 'g'").select(F.col("word").alias("family")), "family", "left_anti")
-    )
-    return rows.filter("family is null").select(keep).unionByName(named.select(keep)).withColumnRenamed("id", id_col)
+        parts = [src.filter(~tables), src.filter(tables).join(told, "id", "left").select("id", "kind", "text", "pii_columns")]
+    if not small:
+        words = cut(words)
+        parts = [_with_words(p, words) for p in parts]
+    rows = [p.mapInArrow(scan, schema) for p in parts]
+    return reduce(DataFrame.unionByName, rows).withColumnRenamed("id", id_col)
+
+
+def _with_words(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """The rows (kind, text ..) with the given names and the families of the lexicon that stand in each text."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(i, w) for i, k, t in zip(*(c.to_pylist() for c in b.columns)) for w in looked_up(t, k)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.string())], names=["_text", "word"])
+
+    # by the text itself: ids may be null, and words of another text, should two coincide, are never looked up
+    rows = rows.withColumn("_text", F.xxhash64("text"))
+    held = rows.select("_text", "kind", "text").mapInArrow(scan, "_text bigint, word string").join(words, "word")
+    own = held.groupBy("_text").agg(*(F.collect_set(F.when(F.col("role") == r, F.col("word"))).alias(c) for r, c in (("g", "given"), ("f", "families"))))  # bounded by the text
+    return rows.join(own, "_text", "left").drop("_text")
 
 
 def pii_values(df: DataFrame, announced: DataFrame | None = None, id_col: str = "file_id") -> DataFrame:

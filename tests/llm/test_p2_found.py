@@ -103,3 +103,25 @@ def test_query_and_redaction(spark, tmp_path, monkeypatch):
     keyed = {r["file_id"]: r["redacted_text"] for r in redact_pii(df, key=b"s").collect()}
     assert re.fullmatch(r"From: (\w+ \w+) <\w+@\w\.example>\n\nCall \d{4} \d{3} \d{4}\.", keyed[1]) and "Zomt" not in keyed[3]
     assert re.match(r"From: (\w+ \w+)", keyed[1])[1] in keyed[3]
+
+
+def test_a_large_lexicon_gives_the_same_values(spark, tmp_path, monkeypatch):
+    shown = "".join(f'To: "{g} {f}" <x@y.example>\n' for g in ("Qira", "Vosk", "Jean-Élo") for f in ("Zomt", "O'Vund", "Stow-Harl", "McRae"))
+    texts = [
+        ("email", shown),
+        ("email", shown + "Regards"),
+        ("table", 'Sheet "x": 3 rows x 2 columns\nbearer | n\nQira Lunt | 1\nMs Vosk Lunt | 2\nPelt Lunt | 3'),
+        ("table", 'Sheet "y": 3 rows x 2 columns\nbearer | n\nPelt Lunt | 1\nDorp Lunt | 2\nKelm Zomt | 3'),
+        ("text", "Ask Vosk Qira Zomt, Zomt, Qira or ZOMT, VOSK; Q. O'Vund and J.-P. McRae met Jean-Élo Stow-Harl. Stow, Q. J. is out, Harl Qira too, Lunt Pelt not."),
+        ("text", "Zomt Qira Vund and Nora Zomt-Vund, then Jean-Élo Zomt, Qira de la Stow, K. Zomt Vosk Ltd, de Zomt, Vosk. Vosk\nMcRae, R. S. McRae"),
+        (None, WRAPPED + " Vund, Qira Zomt"),
+    ]
+    rows = [(k, *x) for k, x in enumerate(texts)]
+    spark.createDataFrame([*rows, (None, "text", "Qira Zomt")], "file_id bigint, kind string, text string").write.parquet(f"{tmp_path}/file_extract.parquet")
+    spark.createDataFrame([(k, [("bearer", "person_name", 1.0)]) for k in (2, 3)], "file_id bigint, pii_columns array<struct<name string, data string, confidence double>>").write.parquet(f"{tmp_path}/file_catalog.parquet")
+    got = []
+    for limit in (pii.BROADCAST_WORDS, 0):
+        monkeypatch.setattr(pii, "BROADCAST_WORDS", limit)
+        got.append({tuple(r) for r in entry.queries()["p2_found"](spark, str(tmp_path)).collect()})
+    assert got[0] == got[1]
+    assert {(2, "name", "Qira Lunt"), (2, "name", "Pelt Lunt"), (None, "name", "Qira Zomt")} <= got[0] and (3, "name", "Dorp Lunt") not in got[0]
